@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import linking, reports, scalars
+
 Query = Callable[[SparkSession, str], DataFrame]
+GROUPS = (scalars, reports, linking)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["ret_top_documents"](spark, sf_dir)
+    return linking.top_documents(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for g in GROUPS for k, q in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for g in GROUPS for k, s in g.SQL.items()}
