@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linking, reports, scalars
+from . import linking, reports, scalars, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (scalars, reports, linking)
+GROUPS = (scalars, reports, linking, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
