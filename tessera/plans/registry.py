@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import asking, linking, reports, scalars, tables
+from . import asking, code, linking, reports, scalars, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (scalars, reports, linking, tables, asking)
+GROUPS = (scalars, reports, linking, tables, asking, code)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
