@@ -152,7 +152,8 @@ def _rules_sql() -> str:
     phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in r.BOILERPLATE)
     count = lambda text, chars: f"(length({text}) - length(translate({text}, '{chars}', '')))"
     n = f"len(regexp_extract_all(l, '{word}'))"
-    fails = f"""(({n} >= {r.PROSE_WORDS} AND {count("l", r.SENTENCE_MARKS)} = 0)
+    marks = f"regexp_matches(l, '[{r.SENTENCE_MARKS}]')"
+    fails = f"""(({n} >= {r.PROSE_WORDS} AND NOT {marks})
         OR {count("l", r.SYMBOLS)} * 100 > {n} * {r.MAX_SYMBOL_WORDS_PERCENT} OR {count("l", "!")} * 100 > {n} * {r.MAX_SYMBOL_WORDS_PERCENT}
         OR ({n} >= {r.PROSE_WORDS} AND regexp_matches(l, '\\p{{Lu}}') AND NOT regexp_matches(l, '\\p{{Ll}}')) OR {phrases})"""
     return f"""
