@@ -122,17 +122,18 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     # The last part in which something is still missing holds the end of the prefix.
     end = parts.filter("before < rest").groupBy(*key).agg(F.max(F.struct("bucket", "before")).alias("end"))
     plan = given.join(end, key, "left").select(
-        *[F.col(c).alias(f"__p_{c}") for c in key], "whole", "rest", F.coalesce("end.bucket", F.lit(-1)).alias("last"), F.coalesce("end.before", F.lit(0)).alias("before")
-    )
+        *[F.col(c).alias(f"__p_{c}") for c in key], F.col("whole").alias("__whole"), F.col("rest").alias("__rest"),
+        F.coalesce("end.bucket", F.lit(-1)).alias("__last"), F.coalesce("end.before", F.lit(0)).alias("__base"),
+    )
     plan = materialize(plan, "mix-plan")
     mine = (F.col("mix_domain") == F.col("__p_domain")) & (F.col("__lang") == F.col("__p_lang")) & (F.col("__source") == F.col("__p_source"))
-    placed = tree.join(plan, mine).withColumn("__order", _order(mix.seed, F.col("whole"))).withColumn("__part", _bucket(F.col("__order")))
+    placed = tree.join(plan, mine).withColumn("__order", _order(mix.seed, F.col("__whole"))).withColumn("__part", _bucket(F.col("__order")))
     # Whole epochs, and one more for the parts before the end of the prefix.
-    times = F.col("whole") + F.when(F.col("__part") < F.col("last"), 1).otherwise(0)
+    times = F.col("__whole") + F.when(F.col("__part") < F.col("__last"), 1).otherwise(0)
     sure = placed.filter(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    edge = placed.filter(F.col("__part") == F.col("last"))
+    edge = placed.filter(F.col("__part") == F.col("__last"))
     ahead = Window.partitionBy("__p_domain", "__p_lang", "__p_source").orderBy("__order", "doc_id", F.xxhash64(text_of())).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("__before", F.col("before") + F.coalesce(F.sum("mix_tokens").over(ahead), F.lit(0))).filter("__before < rest")
-    edge = edge.withColumn("mix_epoch", F.col("whole"))
+    edge = edge.withColumn("__before", F.col("__base") + F.coalesce(F.sum("mix_tokens").over(ahead), F.lit(0))).filter("__before < __rest")
+    edge = edge.withColumn("mix_epoch", F.col("__whole"))
     out = [*[F.col(c) for c in docs.columns if c not in ("mix_domain", "mix_epoch", "mix_tokens")], "mix_domain", F.col("mix_epoch").cast("int").alias("mix_epoch"), "mix_tokens"]
     return sure.select(*out).unionByName(edge.select(*out))
