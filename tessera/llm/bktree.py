@@ -92,7 +92,8 @@ class Forest:
     def links(self, radius: int, labels: np.ndarray, refused=None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of items within ``radius`` that join all that can be joined: a spanning forest of the link graph.
 
-        ``labels``: positions of equal label are joined already. ``refused(i, j)``: True where a pair must not be used.
+        ``labels``: positions of equal label are joined already. ``refused(i, j)``: True where a pair must not be used;
+        asked only of pairs that would join two classes.
         Subtrees that lie wholly in the query's own class are not walked: they can add no link between classes.
         """
         items, fps = self.items, self.fps
@@ -101,9 +102,6 @@ class Forest:
         out_i, out_j = [], []
 
         def take(a: np.ndarray, b: np.ndarray) -> None:
-            if refused is not None and len(a):
-                ok = ~refused(items[a], items[b])
-                a, b = a[ok], b[ok]
             while len(a):
                 r = union.roots()
                 ra, rb = r[a], r[b]
@@ -112,9 +110,13 @@ class Forest:
                 if not len(a):
                     return
                 pick = np.unique(np.minimum(ra, rb) * self.n + np.maximum(ra, rb), return_index=True)[1]
-                for x, y in zip(a[pick].tolist(), b[pick].tolist()):
+                no = np.zeros(len(pick), bool) if refused is None else refused(items[a[pick]], items[b[pick]])
+                for x, y in zip(a[pick[~no]].tolist(), b[pick[~no]].tolist()):
                     if union.join(x, y):
                         out_i.append(x), out_j.append(y)
+                left = np.ones(len(a), bool)
+                left[pick] = False
+                a, b = a[left], b[left]
 
         child = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
         take(child, self.parent[child])
