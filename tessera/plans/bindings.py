@@ -38,7 +38,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _pick(FOLDERS, F.floor(k / 2).cast("int") % len(FOLDERS))
     path = F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), name)
     rows = part.select(F.concat(F.lit("p"), (k % 20).cast("string")).alias("project_id"), path.alias("path"), F.col("p_size").cast("long").alias("size_bytes"))
-    return rows.groupBy("project_id", "path").agg(F.min("size_bytes").alias("size_bytes"))
+    # The path as an aggregate: filters on it stay above, so that its long expression is computed once.
+    once = rows.groupBy("project_id", "path").agg(F.min("size_bytes").alias("size_bytes"), F.min("path").alias("own"))
+    return once.select("project_id", F.col("own").alias("path"), "size_bytes")
 
 
 def _sql_list(values: list[str]) -> str:
