@@ -73,13 +73,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     base = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"))
     base = base.withColumns({"size": F.octet_length("html").cast("long"), "sha": F.sha1(F.col("html").cast("binary"))})
-    keys = base.select("page_id", "sha", "size", "url").groupBy("page_id").agg(F.min(F.struct("sha", "size", "url")).alias("k"), F.count("*").alias("n"))
+    keys = base.select("page_id", "sha", "size", "url").groupBy("page_id").agg(F.min(F.struct("sha", "size", "url")).alias("k"))
     first = keys.groupBy(F.col("k.sha").alias("sha"), F.col("k.size").alias("size")).agg(F.min("page_id").alias("response_id"))
     ids = keys.join(first, (keys["k.sha"] == first["sha"]) & (keys["k.size"] == first["size"]))
     refers = F.when((F.col("response_id") != F.col("page_id")) & (F.col("size") >= least), F.col("response_id"))
-    ids = ids.select("page_id", F.col("k").alias("__k"), F.col("n").alias("__n"), refers.alias("refers_to"))
-    rows = base.join(ids, "page_id").filter(F.struct("sha", "size", "url").eqNullSafe(F.col("__k")))
-    once = rows.filter("__n = 1").unionByName(rows.filter("__n > 1").dropDuplicates(["page_id"]))
+    ids = ids.select("page_id", refers.alias("refers_to"))
+    # Both sides of the join are dealt by page_id, so payloads are moved once.
+    rows = base.groupBy("page_id").agg(F.min_by(F.struct("url", "html"), F.struct("sha", "size", "url")).alias("r"))
+    once = rows.join(ids, "page_id").select("page_id", "r.url", "r.html", "refers_to")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -104,7 +105,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             where.move(own, name)
             yield pd.DataFrame({"path": [name], "size": [size]})
 
-    return once.select("page_id", "url", "html", "refers_to").mapInPandas(run, "path string, size long")
+    return once.mapInPandas(run, "path string, size long")
 
 
 def parse(raw: bytes) -> dict | None:
@@ -181,7 +182,8 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, split: int
     fails the task.
     """
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.filter("size > 0").repartition("path", "start")
+    ranges = ranges.filter("size > 0")
+    ranges = ranges.repartition(max(1, ranges.count()))  # a task for each range, which adaptive execution would merge
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, _ = store(folder)
