@@ -136,10 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         model = fit([(np.unique(features((texts[k].as_py() or "").encode())), y[k]) for k in order], p)
         return pa.table({"i": pa.array(np.append(model.index, -1)), "w": pa.array(np.append(model.weight, model.bias))})
 
-    got = sample.withColumn("fold", F.lit(0)).groupBy("fold").applyInArrow(run, "i long, w double").orderBy("i").toArrow()
+    got = sample.withColumn("fold", F.lit(0)).groupBy("fold").applyInArrow(run, "i long, w double").toArrow()
     if not got.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), -35.0)
-    i, w = got.column("i").to_numpy(), got.column("w").to_numpy()
+    i, w = got.column("i").to_numpy(), got.column("w").to_numpy()  # the bias's index is -1
+    order = np.argsort(i)
+    i, w = i[order], w[order]
     return Model(i[1:], w[1:], float(w[0]))
 
 
