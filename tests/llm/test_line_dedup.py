@@ -139,3 +139,41 @@ def test_registered_query(spark, small):
         for line in t.split("\n"):
             words = tuple(L.normal_words(line))
             assert len(words) < L.MIN_WORDS or exact[words] == i
+
+
+def near_copies(seed, share, unit):
+    """Lines of all lengths and a copy of each with ``share`` of its words or characters replaced."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("etaoinsrhldcu") for _ in range(rng.randrange(2, 10))) for _ in range(2000)]
+    out = []
+    while len(out) < 300:
+        words = [rng.choice(vocab) for _ in range(rng.randrange(5, 70))]
+        parts, stock = (list(words), vocab) if unit == "words" else (list(" ".join(words)), "etaoinsrh")
+        for p in rng.sample(range(len(parts)), max(1, int(len(parts) * share))):
+            parts[p] = rng.choice(stock)
+        one, two = " ".join(words), (" " if unit == "words" else "").join(parts)
+        if one != two and L.edit_distance(one, two) <= max(len(one), len(two)) * 0.2:
+            out.append((one, two))
+    return out
+
+
+def test_recall_of_edit_similarity(docs_of):
+    """Of pairs that edit similarity alone accepts nearly all are found, however many words differ."""
+    cases = [(0, "words", 0.98), (0.1, "words", 0.95), (0.2, "words", 0.65), (0.05, "chars", 0.85)]
+    pairs = [(k, p) for k, (share, unit, _) in enumerate(cases) for p in near_copies(k, share, unit)]
+    rows = [(2 * i + j, line) for i, (_, pair) in enumerate(pairs) for j, line in enumerate(pair)]
+    gone = {r.doc_id for r in L.dedup_lines(docs_of(rows)).filter("n_removed > 0").collect()}
+    assert gone <= {2 * i + 1 for i in range(len(pairs))}
+    found = [[2 * i + 1 in gone for i, (c, _) in enumerate(pairs) if c == k] for k in range(len(cases))]
+    recall = [sum(f) / len(f) for f in found]
+    assert all(r >= least for r, (_, _, least) in zip(recall, cases)), recall
+    print(recall)
+
+
+def test_refused_lines_of_a_key_meet_each_other(spark):
+    """A key's smallest line is similar to none; the others are in two groups."""
+    one, two = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight nine"
+    lines = [(1, "nothing like the rest of them at all"), (2, one), (3, two), (4, one + "s"), (5, two + "s"), (6, one + "ss")]
+    members = spark.createDataFrame([(7, n, x, 4 if n == 6 else n) for n, x in lines], "key long, nh long, line string, own long")
+    got = {tuple(r) for r in L.other_links(members).collect()}
+    assert len(got) == 2 and (3, 5) in got and got - {(3, 5)} <= {(2, 4), (2, 6)}
