@@ -177,3 +177,11 @@ def test_refused_lines_of_a_key_meet_each_other(spark):
     members = spark.createDataFrame([(7, n, x, 4 if n == 6 else n) for n, x in lines], "key long, nh long, line string, own long")
     got = {tuple(r) for r in L.other_links(members).collect()}
     assert len(got) == 2 and (3, 5) in got and got - {(3, 5)} <= {(2, 4), (2, 6)}
+
+
+def test_short_lines_and_lines_without_spaces(docs_of):
+    """Equal lines of any length go, and long ones without spaces also as near copies; blank lines stay."""
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少床前明月光疑是地上霜"
+    rows = [(1, f"Read more\n{han}\n\nOk"), (2, f"read more!\n{han}"), (3, f"{han[:-1]}雪\n---\n\nread less\nOK."), (4, "---\n\nok then")]
+    out = {r.doc_id: (r.text, r.n_removed) for r in L.dedup_lines(docs_of(rows)).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("", 2), 3: ("---\n\nread less", 2), 4: (rows[3][1], 0)}
