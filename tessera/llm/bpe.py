@@ -6,7 +6,10 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -215,39 +218,101 @@ class _Lengths(_Cache):
     encoded = staticmethod(len)
 
 
-def pieces(pattern, text: str) -> Iterator[list[str]]:
-    """The pre-tokens of a text, in lists of bounded size."""
-    if len(text) <= AT_ONCE:
-        yield pattern.findall(text)
-        return
-    found = (m.group() for m in pattern.finditer(text))
-    while part := list(islice(found, 1 << 16)):
-        yield part
+def _ranges(chars: Iterable[str]) -> list[tuple[str, str]]:
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(chr(a), chr(b)) for a, b in out]
+
+
+#: The character classes of the pre-token pattern.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
+def tiktoken_class(name: str, chars: str) -> set[str]:
+    """Those of ``chars`` that tiktoken's own pattern engine puts into a class: it drops what a pattern does not match."""
+    import tiktoken
+
+    single = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return set(single.decode(single.encode_ordinary(chars)))
+
+
+def tokenizers_class(name: str, chars: str) -> set[str]:
+    """The same by the pattern engine of the tokenizers library."""
+    from tokenizers import Regex, normalizers
 
+    negated = name.replace("p", "P").replace("s", "S")
+    return set(normalizers.Replace(Regex(negated), "").normalize_str(chars))
 
-#: What a worker process keeps between tasks, by the broadcast it came with.
-_kept: dict[object, tuple] = {}
 
+@lru_cache
+def splitter(pattern: str, members: Callable[[str, str], set[str]]) -> tuple[str, str, str]:
+    """(pattern, exact pattern, pattern of the code points from which on the exact one is needed).
 
-def _worker(shared, make) -> tuple:
-    if shared.id not in _kept if hasattr(shared, "id") else True:
+    The engine used here may know other Unicode versions than the library to agree with. ``members`` asks the library
+    for its classes, all code points at once; the exact pattern takes out, or puts in, what differs. Texts below the
+    first code point that differs take the plain pattern.
+    """
+    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    exact, first = pattern, 0x110000
+    for name in CLASSES:
+        here, there = set(regex.findall(name, chars)), members(name, chars)
+        text = lambda found: "".join(f"{regex.escape(a)}-{regex.escape(b)}" for a, b in _ranges(found))
+        own = name
+        if here - there:
+            own = f"[{own}--[{text(here - there)}]]"
+        if there - here:
+            own = f"[{own}||[{text(there - here)}]]"
+        exact = exact.replace(name, own)
+        first = min([first, *map(ord, here ^ there)])
+    # what stands for the complement of a class is not in the pattern, so the three replacements suffice
+    return pattern, "(?V1)" + exact, f"[{re.escape(chr(first))}-\U0010ffff]" if first < 0x110000 else "(?!)"
+
+
+class Splitter:
+    """The pre-tokens of texts, as the library splits them, in lists of bounded size."""
+
+    def __init__(self, plain: str, exact: str, high: str):
+        self.plain, self.exact, self.high = regex.compile(plain), regex.compile(exact), re.compile(high)
+
+    def __call__(self, text: str) -> Iterator[list[str]]:
+        pattern = self.exact if not text.isascii() and self.high.search(text) else self.plain
+        if len(text) <= AT_ONCE:
+            yield pattern.findall(text)
+            return
+        found = (m.group() for m in pattern.finditer(text))
+        while part := list(islice(found, 1 << 16)):
+            yield part
+
+
+#: What a worker process keeps between tasks, by the name that travels with the broadcast.
+_kept: dict[str, object] = {}
+
+
+def _worker(shared, make):
+    """``make(*parts)`` of a broadcast (name, parts), made once in a worker process and kept until another is asked for."""
+    name, parts = shared.value
+    if name not in _kept:
         _kept.clear()
-        _kept[getattr(shared, "id", None)] = make(shared.value)
-    return _kept[getattr(shared, "id", None)]
+        _kept[name] = make(*parts)
+    return _kept[name]
 
 
 class Codec:
     """Encoder and decoder over one vocabulary; also usable without Spark."""
 
-    def __init__(self, vocabulary: Vocabulary, whole: PerfectHash, ids: list[int], pattern: str):
+    def __init__(self, vocabulary: Vocabulary, whole: PerfectHash, ids: list[int], split: tuple[str, str, str]):
         self.cache = _Ids(vocabulary, whole, ids)
-        self.pattern = regex.compile(pattern)
+        self.pieces = Splitter(*split)
         self.bytes_of = {str(i): t for i, t in enumerate(vocabulary.tokens)}
 
     def encode(self, text: str) -> Iterator[str]:
         """Ids joined by commas, in parts that are not empty."""
         get = self.cache.__getitem__
-        for part in pieces(self.pattern, text):
+        for part in self.pieces(text):
             if part:
                 yield ",".join(map(get, part))
 
@@ -270,12 +335,16 @@ def whole_tokens(vocabulary: Vocabulary) -> tuple[PerfectHash, list[int]]:
 
 
 def codec(path: str, pattern: str) -> Codec:
+    return Codec(*codec_parts(path, pattern))
+
+
+def codec_parts(path: str, pattern: str) -> tuple:
     vocabulary = Vocabulary.from_ranks(path)
-    return Codec(vocabulary, *whole_tokens(vocabulary), pattern)
+    return vocabulary, *whole_tokens(vocabulary), splitter(pattern, tiktoken_class)
 
 
 def _share(docs: DataFrame, *parts):
-    return docs.sparkSession.sparkContext.broadcast(parts)
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, parts))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterable[str]:
@@ -290,11 +359,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     (about 50,000 entries), whatever the corpus. Null texts count as empty (no ids; digests of nothing); null doc_ids
     and repeated rows stay; texts over a million characters are split as a stream; extra columns are ignored.
     """
-    vocabulary = Vocabulary.from_ranks(path)
-    shared = _share(docs, vocabulary, *whole_tokens(vocabulary), pattern)
+    shared = _share(docs, *codec_parts(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker(shared, lambda parts: Codec(*parts))
+        codec = _worker(shared, Codec)
         for batch in batches:
             rows = [codec.digest(t) for t in _texts(batch)]
             n, a, b = zip(*rows) if rows else ((), (), ())
@@ -311,12 +379,11 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of ``docs`` but any ``token_ids``, and ``token_ids array<int>`` of each whole text."""
-    vocabulary = Vocabulary.from_ranks(path)
-    shared = _share(docs, vocabulary, *whole_tokens(vocabulary), pattern)
+    shared = _share(docs, *codec_parts(path, pattern))
     docs = docs.drop("token_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker(shared, lambda parts: Codec(*parts))
+        codec = _worker(shared, Codec)
         for batch in batches:
             ids = [[int(i) for part in codec.encode(t) for i in part.split(",")] for t in _texts(batch)]
             yield batch.append_column("token_ids", pa.array(ids, pa.list_(pa.int32())))
@@ -333,7 +400,7 @@ def decode_ids(coded: DataFrame, path: str) -> DataFrame:
     coded = coded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value[0]
+        tokens = shared.value[1][0]
         for batch in batches:
             raw = [b"".join(tokens[i] for i in ids.as_py() or ()) for ids in batch.column("token_ids")]
             yield batch.append_column("decoded", pa.array(raw, pa.binary()))
@@ -346,47 +413,60 @@ def decode_ids(coded: DataFrame, path: str) -> DataFrame:
 class Counter:
     """Token counts of texts; also usable without Spark."""
 
-    def __init__(self, vocabulary: Vocabulary, frequent: PerfectHash, lengths: bytes, pattern: str, special: str):
+    def __init__(self, vocabulary: Vocabulary, frequent: PerfectHash, lengths: bytes, split: tuple[str, str, str], specials: list[str]):
         self.cache = _Lengths(vocabulary, frequent, lengths)
-        self.pattern, self.special = regex.compile(pattern), special
+        self.pieces = Splitter(*split)
+        # the longest of the added tokens that begin at a place wins
+        self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
     def count(self, text: str) -> int:
         get = self.cache.__getitem__
-        parts = text.split(self.special) if self.special else [text]
-        return len(parts) - 1 + sum(sum(map(get, part)) for own in parts for part in pieces(self.pattern, own))
+        parts = self.special.split(text) if self.special else [text]
+        return len(parts) - 1 + sum(sum(map(get, part)) for own in parts for part in self.pieces(own))
+
+
+def added_tokens(path: str) -> list[str]:
+    """The strings that a tokenizers file takes for one token wherever they stand in a text."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"added tokens that take white space, whole words or normalised text are not supported: {odd}")
+    return [t["content"] for t in added]
 
 
-def counter_parts(path: str, pattern: str, special: str) -> tuple:
-    """The vocabulary and the table of frequent pre-tokens' lengths.
+def counter_parts(path: str, pattern: str) -> tuple:
+    """The vocabulary, the table of frequent pre-tokens' lengths, the pre-token patterns and the added tokens.
 
     Merges were learned from what is frequent in text, so the frequent pre-tokens are those the vocabulary has whole;
     each one's length is computed by the merges themselves.
     """
     vocabulary = Vocabulary.from_json(path)
-    split = regex.compile(pattern)
+    split = splitter(pattern, tokenizers_class)
+    exact = regex.compile(split[1])
     keys, lengths = [], []
     for t in vocabulary.tokens:
         try:
             word = t.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if t and split.fullmatch(word):
+        if t and exact.fullmatch(word):
             keys.append(t), lengths.append(len(vocabulary.encode_piece(t)))
-    return vocabulary, PerfectHash(keys), bytes(lengths), pattern, special
+    return vocabulary, PerfectHash(keys), bytes(lengths), split, added_tokens(path)
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str, special: str, limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """Token counts of every whole text: (doc_id, n_bytes, n_tokens, over_limit), a row for each input row.
 
     Map side only: frequent pre-tokens' lengths come from a broadcast compact hash table (bounded by the vocabulary),
-    others are encoded once and kept in a bounded cache of the worker process; no pre-token is shuffled. ``special``
-    is the special string that the library takes for one token wherever it stands in a text. Null texts count as
-    empty; null doc_ids and repeated rows stay; extra columns are ignored.
+    others are encoded once and kept in a bounded cache of the worker process; no pre-token is shuffled. The file's added
+    tokens count as one each wherever they stand in a text. Null texts count as empty; null doc_ids and repeated rows
+    stay; extra columns are ignored.
     """
-    shared = _share(docs, *counter_parts(path, pattern, special))
+    shared = _share(docs, *counter_parts(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _worker(shared, lambda parts: Counter(*parts))
+        counter = _worker(shared, Counter)
         for batch in batches:
             n = pa.array([counter.count(t) for t in _texts(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])

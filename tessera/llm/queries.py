@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from . import bpe, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, warc
 from .common import table
 
-#: Special string of the JSON vocabulary, which the library takes for one token.
-SPECIAL = "<|endoftext|>"
-
 
 def tokenizer(name: str) -> str:
     import public_tokenizers
@@ -75,7 +72,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern(), SPECIAL)
+    return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern())
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
