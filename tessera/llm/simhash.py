@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bktree import Forest, block_masks, signed
-from .common import materialize
+from .common import join_hot, materialize, text_of
 from .components import connected_components
 
 SEED = 42
@@ -46,16 +46,16 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row; a null text counts as empty. Other columns are not read."""
+    """(doc_id, th long, fp long) for every row: the text's hash and fingerprint; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             fps = pa.array([signed(fingerprint(x.as_py() or b"")) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fps], names=["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64(text_of()).alias("th")).mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def shards(items: DataFrame, masks: list[int]) -> DataFrame:
@@ -104,13 +104,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Trees are not broadcast: all of them together are as large as the corpus. Each shard's tree is built in the task
     that holds the shard, and every fingerprint visits the shards that could hold a partner.
     """
+    return classified(docs).select("doc_id", "fp", "component_id")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, fp, component, component_id) of every row; component: a fingerprint that names its class.
+
+    Classes and fingerprints that hold many rows are joined apart, so that no task gathers them.
+    """
     fps = materialize(fingerprints(docs), "simhash-fp")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     member = connected_components(links(distinct)).select(F.col("node").alias("fp"), "component")
-    known = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = known.join(least, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    member = materialize(distinct.join(member, "fp"), "simhash-member")
+    least = member.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m"))
+    linked = join_hot(member, materialize(least, "simhash-least"), "component", "m").select("fp", "n", "component", "component_id")
+    alone = distinct.join(member, "fp", "left_anti").select("fp", "n", F.col("fp").alias("component"), F.col("first_id").alias("component_id"))
+    classes = materialize(linked.unionByName(alone), "simhash-classes")
+    return join_hot(fps, classes, "fp", "n").select("doc_id", "th", "fp", "component", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
@@ -118,15 +128,21 @@ def fingerprint_hex(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their near-duplicate class: the row with the smallest doc_id.
+    """One row of ``docs`` for each near-duplicate class: that with the smallest doc_id, nulls last, then text hash.
 
-    Of rows that repeat that doc_id one stays: the one whose text hashes lowest. A class without any doc_id that is
-    not null keeps all its rows. Columns stay as they are.
+    Rows are told apart by doc_id and text, so a doc_id that repeats with different texts loses only what is in
+    another row's class. Of rows that repeat both, the one whose columns hash lowest stays. A null text counts as
+    empty, and all empty texts are one class. Columns stay as they are, also those of names used here; an empty table
+    gives an empty result.
     """
-    found = near_duplicates(docs)
-    drop = found.filter("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    twice = kept.join(repeated, "doc_id", "left_semi")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("hash"))
+    rows = classified(docs).groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))
+    best = rows.groupBy("component").agg(F.min_by(F.struct(F.col("doc_id").alias("__id"), F.col("th").alias("__hash"), F.col("n").alias("__n")), place).alias("best"))
+    best = materialize(best.select("best.*"), "simhash-best")
+    keyed = docs.withColumn("__th", F.xxhash64(text_of()))
+    same = keyed["doc_id"].eqNullSafe(best["__id"]) & (keyed["__th"] == best["__hash"])
+    kept = keyed.join(best, same)
+    if best.filter("__n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    spot = Window.partitionBy("__id", "__th").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("__at", F.row_number().over(spot)).filter("__at = 1").select(*docs.columns)

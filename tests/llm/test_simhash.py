@@ -112,6 +112,26 @@ def test_keep_one_keeps_the_smallest_of_each_class(docs_of):
     assert kept.columns == docs_of(rows).columns
 
 
+def test_keep_one_tells_rows_apart(docs_of):
+    """A doc_id that repeats with another text, null ids, null and empty texts: one row of each class, none lost."""
+    base = " ".join(f"word{k}" for k in range(400))
+    rows = [(3, base), (5, base), (5, "another text that stands alone"), (None, base), (7, None), (6, ""), (None, "only here without an id"), (None, "only here without an id")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs_of(rows)).collect()), key=str)
+    assert kept == sorted([(3, base), (5, "another text that stands alone"), (6, ""), (None, "only here without an id")], key=str)
+    assert simhash.keep_one(docs_of([])).collect() == []
+
+
+def test_hot_classes_are_joined_apart(docs_of, monkeypatch):
+    from tessera.llm import common
+
+    base = " ".join(f"word{k}" for k in range(400))
+    rows = [(k, base if k % 2 else f"{base} tail{k}") for k in range(40)] + [(100 + k, f"text {k} " * 9) for k in range(20)]
+    want = brute(rows)
+    for hot in (1, 3, 10**6):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert result(simhash.near_duplicates(docs_of(rows))) == want
+
+
 def test_partitions_do_not_matter(docs_of):
     random.seed(2)
     rows = [(k, " ".join(random.choice("abcdefgh") * 3 for _ in range(random.randrange(0, 40)))) for k in range(200)]
