@@ -77,7 +77,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)(:\d+)?>$", 1).try_cast("long")
     size = F.coalesce(F.octet_length("payload"), F.col("http_length")).cast("long")
     return read.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
@@ -170,13 +170,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS h FROM p),
+f AS (SELECT *, first_value(page_id) OVER w AS first, row_number() OVER w AS place, sha1(html) AS h FROM p
+    WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST)),
 bits AS (SELECT *, array_to_string(list_transform(range(40), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', substr(h, i + 1, 1))]), '') AS b FROM f)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
     array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
-    CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN first <> page_id THEN first END AS refers_to
+    CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN place > 1 THEN first END AS refers_to
 FROM bits"""
 
 

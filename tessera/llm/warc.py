@@ -10,10 +10,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import join_hot, materialize, scratch
 
 #: First bytes of a gzip member: magic number, deflate, no flags. Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -30,17 +30,19 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id: int | None, sha: str = "", repeat: int = 0) -> str:
+    """The id of a page's record: of rows that repeat a page_id the later ones are numbered; pages without one go by
+    their payload's hash."""
+    return f"<urn:page:{f'null:{sha}' if page_id is None else page_id}{f':{repeat}' if repeat else ''}>"
 
 
-def member(page_id: int, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
+def member(record: str, url: str | None, payload: bytes, refers_to: str | None, digest: str) -> bytes:
     """One gzip member with one record: a response, or a revisit that leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -48,7 +50,7 @@ def member(page_id: int, url: str | None, payload: bytes, refers_to: int | None,
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += [f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
     raw = VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
@@ -63,24 +65,28 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write a record for every row of ``pages(page_id long, url, html)`` to archives in ``folder``; returns (path, size).
 
     Of rows whose payloads (html as UTF-8, null as empty) are equal and ``least`` bytes or longer, the one with the
-    smallest page_id is a response and the others revisit it. Rows with a null page_id are not written, since a
-    record needs its identifier; of rows that repeat a page_id the one with the smallest payload hash and url is
-    written. Extra columns are ignored; an empty table gives no archive.
+    smallest page_id, nulls last, is a response and the others revisit it. Rows that repeat a page_id are ordered by
+    payload hash and url; each is a record, the later ones with a number behind the id. Rows without a page_id are
+    records named by their payload's hash. Extra columns are ignored; an empty table gives no archive.
 
     A task writes one archive under a name of its own attempt and renames it at the end, so a task that runs again
     replaces the file as a whole.
     """
-    payload = F.coalesce("html", F.lit(""))
-    base = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"size": F.octet_length("html").cast("long"), "sha": F.sha1(F.col("html").cast("binary"))})
-    keys = base.select("page_id", "sha", "size", "url").groupBy("page_id").agg(F.min(F.struct("sha", "size", "url")).alias("k"))
-    first = keys.groupBy(F.col("k.sha").alias("sha"), F.col("k.size").alias("size")).agg(F.min("page_id").alias("response_id"))
-    ids = keys.join(first, (keys["k.sha"] == first["sha"]) & (keys["k.size"] == first["size"]))
-    refers = F.when((F.col("response_id") != F.col("page_id")) & (F.col("size") >= least), F.col("response_id"))
-    ids = ids.select("page_id", refers.alias("refers_to"))
-    # Both sides of the join are dealt by page_id, so payloads are moved once.
-    rows = base.groupBy("page_id").agg(F.min_by(F.struct("url", "html"), F.struct("sha", "size", "url")).alias("r"))
-    once = rows.join(ids, "page_id").select("page_id", "r.url", "r.html", "refers_to")
+    # what a record's id is made of: rows of one owner are told apart by their number
+    base = base.withColumn("owner", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("null:"), "sha")))
+    number = (F.row_number().over(Window.partitionBy("owner").orderBy("sha", "size", "url")) - 1).alias("repeat")
+    keys = base.select("page_id", "owner", "sha", "size", "url", F.concat_ws("-", "sha", "size").alias("payload"), number)
+    keys = materialize(keys.drop("url"), "warc-keys")
+    ident = F.concat(F.lit("<urn:page:"), "owner", F.when(F.col("repeat") > 0, F.concat(F.lit(":"), F.col("repeat").cast("string"))).otherwise(""), F.lit(">"))
+    place = F.struct(F.col("page_id").isNull(), "page_id", "owner", "repeat")
+    first = keys.groupBy("payload").agg(F.min_by(ident, place).alias("response"), F.count("*").alias("n"))
+    revisits = join_hot(keys, materialize(first, "warc-first"), "payload", "n").filter((ident != F.col("response")) & (F.col("size") >= least))
+    refers = revisits.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("repeat", "response"))).alias("refers"))
+    # Both sides of the join, and the numbers, are dealt by owner, so payloads are moved once.
+    once = base.join(refers, "owner", "left").select("owner", "url", "html", "refers", number)
+    once = once.select(ident.alias("record"), "url", "html", F.try_element_at("refers", F.col("repeat")).alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -95,9 +101,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             if out is None and len(batch):
                 where.create_dir(top, recursive=True)
                 out = where.open_output_stream(own, compression=None)
-            for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"]):
+            for record, url, html, refers_to in zip(batch["record"], batch["url"], batch["html"], batch["refers_to"]):
                 raw = html.encode("utf-8", "surrogatepass")
-                made = member(int(page_id), url, raw, None if pd.isna(refers_to) else int(refers_to), digest32(raw))
+                made = member(record, url, raw, refers_to, digest32(raw))
                 out.write(made)
                 size += len(made)
         if out is not None:
@@ -129,10 +135,12 @@ def members(read, start: int, end: int) -> Iterator[dict]:
     """The records that begin in bytes ``start`` to ``end`` of a file; ``read(at, n)`` gives up to n of its bytes.
 
     Every gzip magic in the range is a candidate. Its first unpacked bytes must be a record's version line, else the
-    search goes on behind the magic; so must what follows as a whole, up to the member's checked end, which may lie
-    beyond the range. A record belongs to the range that it begins in.
+    search goes on behind the magic, as it does where what unpacks without fault is no record. A record belongs to the
+    range that it begins in, and may end beyond it. A candidate with a version line that does not unpack to its
+    checked end is given as {"offset", "damaged": why}.
     """
     at, buffer, base = start, b"", start
+    ahead, front = b"", 0  # what was read beyond the buffer, and where it begins
     while at < end:
         if at - base + len(MAGIC) > len(buffer):
             base, buffer = at, read(at, READ)
@@ -147,26 +155,35 @@ def members(read, start: int, end: int) -> Iterator[dict]:
         at = base + spot
         if at >= end:
             return
-        unpack, out, pos, ok = zlib.decompressobj(31), [], at, True
-        have = 0
+        if at - base + STEP > len(buffer):
+            base, buffer = at, read(at, READ)
+        try:
+            known = zlib.decompressobj(31).decompress(buffer[at - base : at - base + STEP], len(VERSION)).startswith(b"WARC/1.")
+        except zlib.error:
+            known = False
+        if not known:
+            at += 1
+            continue
+        unpack, out, pos, wrong = zlib.decompressobj(31), [], at, None
         try:
             while not unpack.eof:
-                inside = pos - base
-                piece = buffer[inside : inside + STEP] if inside < len(buffer) else read(pos, STEP)
+                if pos - base < len(buffer):
+                    piece = buffer[pos - base : pos - base + STEP]
+                else:
+                    if not front <= pos < front + len(ahead):
+                        front, ahead = pos, read(pos, READ)
+                    piece = ahead[pos - front : pos - front + STEP]
                 if not piece:
-                    ok = False
+                    wrong = "the file ends within it"
                     break
-                made = unpack.decompress(piece)
+                out.append(unpack.decompress(piece))
                 pos += len(piece)
-                out.append(made)
-                have += len(made)
-                if have >= len(VERSION) and not b"".join(out[:2])[: len(VERSION)].startswith(b"WARC/1."):
-                    ok = False
-                    break
-        except zlib.error:
-            ok = False
-        record = parse(b"".join(out)) if ok else None
+        except zlib.error as error:
+            wrong = str(error)
+        record = parse(b"".join(out)) if wrong is None else None
         if record is None:
+            if wrong:
+                yield {"offset": at, "damaged": wrong}
             at += 1
             continue
         pos -= len(unpack.unused_data)
@@ -174,12 +191,13 @@ def members(read, start: int, end: int) -> Iterator[dict]:
         at = pos
 
 
-def read_archives(spark: SparkSession, files: DataFrame, folder: str, split: int = 32 << 20) -> DataFrame:
+def read_archives(spark: SparkSession, files: DataFrame, folder: str, split: int = 32 << 20, report: bool = False) -> DataFrame:
     """Records of archives, from ``files(path, size)``: each file is cut into ranges of ``split`` bytes, a row for each.
 
     Columns: path, offset, record_id, record_type, refers_to, url, http_length long (the HTTP header's), payload binary
-    (null for a revisit), payload_digest (the record's). The digest of a response's payload is checked: a mismatch
-    fails the task.
+    (null for a revisit), payload_digest (the record's). The digest of a response's payload is checked. A damaged or
+    truncated member, and a payload that does not match its digest, fail the task; with ``report`` they are rows of
+    record_type "damaged" whose record_id says why, and the members behind them are read.
     """
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.filter("size > 0")
@@ -198,12 +216,21 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, split: int
                         return f.read(n)
 
                     for r in members(read, int(start), min(int(start) + split, int(size))):
+                        if "damaged" in r:
+                            if not report:
+                                raise ValueError(f"damaged member at byte {r['offset']} of {path}: {r['damaged']}")
+                            rows.append((path, r["offset"], r["damaged"], "damaged", None, None, None, None, None))
+                            continue
                         head, _, body = r["block"].partition(b"\r\n\r\n")
                         length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
                         stated = r.get("warc-payload-digest", "").removeprefix("sha1:")
                         whole = r["warc-type"] == "response"
                         if whole and digest32(body) != stated:
-                            raise ValueError(f"payload of {r.get('warc-record-id')} in {path} does not match its digest")
+                            why = f"payload of {r.get('warc-record-id')} does not match its digest"
+                            if not report:
+                                raise ValueError(f"{why}, in {path}")
+                            rows.append((path, r["offset"], why, "damaged", None, None, None, None, None))
+                            continue
                         rows.append((path, r["offset"], r.get("warc-record-id"), r["warc-type"], r.get("warc-refers-to"), r.get("warc-target-uri"), length, body if whole else None, stated))
                         held += len(r["block"])
                         if held > 16 << 20:
@@ -219,7 +246,7 @@ _NAMES = ["path", "offset", "record_id", "record_type", "refers_to", "url", "htt
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return scratch(spark, "warc")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
