@@ -25,59 +25,128 @@ SHARD_ROWS = 16_384
 #: Queries that are dealt together.
 QUERIES = 8_192
 _BLOCK = 256
-
-
-def _nearest(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """For each of ``rows`` its k nearest others among ``rows``, nearest first, as positions in ``rows``; -1 for none."""
-    own = x[rows]
-    k = min(k, len(rows) - 1)
-    out = np.full((len(rows), max(k, 0)), -1, np.int32)
-    for at in range(0, len(rows), _BLOCK):
-        sim = own[at : at + _BLOCK] @ own.T
-        sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -np.inf
-        top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
-        order = np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable")
-        out[at : at + len(sim)] = np.take_along_axis(top, order, 1)
-    return out
-
-
-def _spread(x: np.ndarray, rows: np.ndarray, near: np.ndarray, m: int) -> np.ndarray:
-    """The HNSW choice of neighbours: from the nearest on, one is taken if none taken is nearer to it than the node."""
-    out = np.full((len(rows), m), -1, np.int32)
-    for at in range(0, len(rows), _BLOCK):
-        cand = near[at : at + _BLOCK]
-        v = x[rows[cand]]
-        to_node = np.einsum("bcd,bd->bc", v, x[rows[at : at + len(cand)]])
-        between = np.einsum("bcd,bed->bce", v, v)
-        taken = np.zeros(cand.shape, bool)
-        count = np.zeros(len(cand), np.int64)
-        for c in range(cand.shape[1]):
-            crowded = (np.where(taken, between[:, c, :], -np.inf) > to_node[:, c : c + 1]).any(axis=1)
-            ok = ~crowded & (count < m)
-            taken[:, c] = ok
-            out[at : at + len(cand)][np.flatnonzero(ok), count[ok]] = cand[ok, c]
-            count += ok
-        for b in np.flatnonzero(count < m).tolist():  # fill up with the nearest left out
-            left = cand[b][~taken[b]][: m - count[b]]
-            out[at + b, count[b] : count[b] + len(left)] = left
-    return out
-
-
-def _both_ways(links: np.ndarray, x: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
-    """Flat neighbour arrays with the links' reverse, nearest first, ``most`` for each node at most."""
-    n, m = links.shape
-    a, b = np.repeat(np.arange(n), m), links.reshape(-1).astype(np.int64)
+#: Nodes that are inserted together.
+BATCH = 1024
+
+
+def _sims(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, np.float32)
+
+
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """A beam search of all queries at once in one layer: positions (len(x) for none) and their inner products."""
+    n, nq = len(x), len(q)
+    beam = min(beam, n)
+    # Of what has been seen, the best; unused places hold position n.
+    best = np.full((nq, beam), n, np.int64)
+    sim = np.full((nq, beam), -np.inf, np.float32)
+    done = np.ones((nq, beam), bool)
+    best[:, 0], done[:, 0] = start, False
+    sim[:, 0] = np.einsum("ij,ij->i", x[start], q)
+    seen = np.zeros((nq, n + 1), bool)
+    seen[:, n] = True
+    seen[np.arange(nq), start] = True
+    live = np.arange(nq)
+    while len(live):
+        value = np.where(done[live], -np.inf, sim[live])
+        k = min(OPEN, beam)
+        pick = np.argpartition(-value, k - 1, axis=1)[:, :k]
+        ok = np.take_along_axis(value, pick, 1) > -np.inf
+        some = ok.any(axis=1)
+        live, pick, ok = live[some], pick[some], ok[some]
+        if not len(live):
+            break
+        at = best[live[:, None], pick]
+        done[live[:, None], pick] = True
+        nb = links[np.where(ok, at, 0)].astype(np.int64)
+        nb = np.where(ok[:, :, None] & (nb >= 0), nb, n).reshape(len(live), -1)
+        nb = np.sort(nb, axis=1)
+        fresh = ~seen[live[:, None], nb]
+        fresh[:, 1:] &= nb[:, 1:] != nb[:, :-1]
+        seen[live[:, None], nb] = True
+        a, b = np.nonzero(fresh)
+        got = np.full(nb.shape, -np.inf, np.float32)
+        got[a, b] = np.einsum("ij,ij->i", x[nb[a, b]], q[live[a]])
+        nb[~fresh] = n
+        all_at = np.concatenate([best[live], nb], axis=1)
+        all_sim = np.concatenate([sim[live], got], axis=1)
+        all_done = np.concatenate([done[live], ~fresh], axis=1)
+        top = np.argpartition(-all_sim, beam - 1, axis=1)[:, :beam]
+        best[live], sim[live], done[live] = (np.take_along_axis(v, top, 1) for v in (all_at, all_sim, all_done))
+    return best, sim
+
+
+def _choose(x: np.ndarray, own: np.ndarray, cand: np.ndarray, m: int) -> np.ndarray:
+    """The HNSW choice of neighbours for nodes ``own`` among ``cand``, nearest first, len(x) for none: from the nearest
+    on, one is taken if none taken is nearer to it than the node; left places go to the nearest left out. -1 for none."""
+    there = cand < len(x)
+    v = x[np.where(there, cand, 0)]
+    to_node = np.where(there, np.einsum("bcd,bd->bc", v, x[own]), -np.inf)
+    between = v @ v.transpose(0, 2, 1)
+    taken = np.zeros(cand.shape, bool)
+    count = np.zeros(len(cand), np.int64)
+    for c in range(cand.shape[1]):
+        crowded = (np.where(taken, between[:, c, :], -np.inf) > to_node[:, c : c + 1]).any(axis=1)
+        taken[:, c] = ~crowded & (count < m) & there[:, c]
+        count += taken[:, c]
+    # taken ones first, then the others, both nearest first
+    order = np.argsort(np.where(there, np.where(taken, 0, 1), 2), axis=1, kind="stable")[:, :m]
+    return np.where(np.take_along_axis(there, order, 1), np.take_along_axis(cand, order, 1), -1).astype(np.int32)
+
+
+def _link_back(links: np.ndarray, x: np.ndarray, nodes: np.ndarray) -> None:
+    """Let the neighbours of ``nodes`` point back at them; a node that then has too many chooses anew."""
+    most = links.shape[1]
+    b, a = links[nodes].reshape(-1).astype(np.int64), np.repeat(nodes, most)
     a, b = a[b >= 0], b[b >= 0]
-    pair = np.unique(np.concatenate([a * n + b, b * n + a]))
-    a, b = pair // n, pair % n
-    sim = np.concatenate([np.einsum("ij,ij->i", x[rows[a[k : k + 65536]]], x[rows[b[k : k + 65536]]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-    order = np.lexsort((-sim, a))
-    a, b = a[order], b[order]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    keep = rank < most
-    out = np.full((n, most), -1, np.int32)
-    out[a[keep], rank[keep]] = b[keep]
-    return out
+    touched = np.unique(b)
+    old = links[touched].reshape(-1).astype(np.int64)
+    pair = np.unique(np.r_[b, np.repeat(touched, most)[old >= 0]] * len(x) + np.r_[a, old[old >= 0]])
+    u, v = pair // len(x), pair % len(x)
+    order = np.lexsort((-_sims(x, u, v), u))
+    u, v = u[order], v[order]
+    rank = np.arange(len(u)) - np.searchsorted(u, u)
+    width = 2 * most
+    cand = np.full((len(touched), width), len(x))
+    keep = rank < width
+    cand[np.searchsorted(touched, u[keep]), rank[keep]] = v[keep]
+    full = cand[:, most] < len(x)
+    links[touched[~full]] = np.where(cand[~full, :most] < len(x), cand[~full, :most], -1)
+    for lo in range(0, int(full.sum()), _BLOCK):
+        own = np.flatnonzero(full)[lo : lo + _BLOCK]
+        links[touched[own]] = _choose(x, touched[own], cand[own], most)
+
+
+def _insert_all(x: np.ndarray, first: np.ndarray, rest: np.ndarray, start: np.ndarray, m: int, most: int) -> np.ndarray:
+    """A layer's flat neighbour arrays, by inserting its nodes in batches: each batch finds its neighbours by searching
+    the graph of those before it, and among itself.
+
+    ``first``: nodes that the layer above holds too, inserted first; ``rest``: the others, and ``start``: where the
+    search of each begins, one of ``first``. A batch is no larger than what is there already, and ``BATCH`` at most.
+    """
+    links = np.full((len(x), most), -1, np.int32)
+    order, begin = np.r_[first, rest], np.r_[np.full(len(first), -1), start]
+    done = 0
+    while done < len(order):
+        batch = order[done : done + min(max(done, 64), BATCH)]
+        cand = []
+        for lo in range(0, len(batch) if done else 0, _BLOCK):
+            own = batch[lo : lo + _BLOCK]
+            at = begin[done + lo : done + lo + len(own)]
+            cand.append(_beam(x, links, x[own], np.where(at < 0, order[0], at), BREADTH)[0])
+        near = np.concatenate(cand) if cand else np.full((len(batch), 0), len(x))
+        inside = x[batch] @ x[batch].T
+        np.fill_diagonal(inside, -np.inf)
+        k = min(m, len(batch) - 1)
+        peers = batch[np.argpartition(-inside, k - 1, axis=1)[:, :k]] if k > 0 else np.full((len(batch), 0), len(x))
+        both = np.concatenate([near, peers], axis=1)
+        if both.shape[1]:
+            sim = np.where(both < len(x), np.einsum("bcd,bd->bc", x[np.where(both < len(x), both, 0)], x[batch]), -np.inf)
+            both = np.take_along_axis(both, np.argsort(-sim, axis=1, kind="stable"), 1)[:, :BREADTH]
+            links[batch[:, None], np.arange(min(m, both.shape[1]))] = _choose(x, batch, both, m)
+            _link_back(links, x, batch)
+        done += len(batch)
+    return links
 
 
 class Graph:
@@ -93,62 +162,33 @@ class Graph:
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 5) -> Graph:
+        """Levels are drawn as usual; layers are built from the top, each by inserting its nodes through searches that
+        begin where the layer above ends."""
         norms = np.einsum("ij,ij->i", vectors, vectors)
         lifted = np.c_[vectors, np.sqrt(np.maximum(norms.max() - norms, 0))].astype(np.float32)
         n = len(vectors)
-        draw = np.random.default_rng(seed).random(n)
-        level = np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(M)).astype(np.int64)
-        layers = []
-        for depth in range(int(level.max()) + 1):
+        rng = np.random.default_rng(seed)
+        level = np.floor(-np.log(np.maximum(rng.random(n), 1e-12)) / math.log(M)).astype(np.int64)
+        turn = rng.permutation(n)
+        layers, above = [], np.zeros(0, np.int64)
+        for depth in range(int(level.max()), -1, -1):
             rows = np.flatnonzero(level >= depth)
-            near = _nearest(lifted, rows, BREADTH)
-            links = _spread(lifted, rows, near, M) if near.shape[1] else np.full((len(rows), 1), -1, np.int32)
-            layers.append((rows, _both_ways(links, lifted, rows, 2 * M if depth == 0 else M)))
-        return cls(vectors, layers)
-
-    def _beam(self, q: np.ndarray, depth: int, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """A beam search of all queries at once in one layer; positions in the layer and their inner products."""
+            x = lifted[rows]
+            fresh = turn[level[turn] == depth]
+            start = np.full(len(fresh), -1)
+            for k, (upper, links) in enumerate(layers):  # from the top down
+                for lo in range(0, len(fresh), 4096):
+                    own = slice(lo, lo + 4096)
+                    best, sim = _beam(lifted[upper], links, lifted[fresh[own]], np.maximum(start[own], 0), 8)
+                    found = upper[best[np.arange(len(best)), sim.argmax(axis=1)]]
+                    start[own] = np.searchsorted(layers[k + 1][0] if k + 1 < len(layers) else rows, found)
+            layers.append((rows, _insert_all(x, np.searchsorted(rows, above), np.searchsorted(rows, fresh), start, M, 2 * M if depth == 0 else M)))
+            above = turn[level[turn] >= depth]
+        return cls(vectors, layers[::-1])
+
+    def _walk(self, q: np.ndarray, depth: int, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         rows, links = self.layers[depth]
-        n, nq = len(rows), len(q)
-        x = self.single[rows] if depth else self.single
-        beam = min(beam, n)
-        # Of what has been seen, the best; unused places hold position n.
-        best = np.full((nq, beam), n, np.int64)
-        sim = np.full((nq, beam), -np.inf, np.float32)
-        done = np.ones((nq, beam), bool)
-        best[:, 0], done[:, 0] = start, False
-        sim[:, 0] = np.einsum("ij,ij->i", x[start], q)
-        seen = np.zeros((nq, n + 1), bool)
-        seen[:, n] = True
-        seen[np.arange(nq), start] = True
-        live = np.arange(nq)
-        while len(live):
-            value = np.where(done[live], -np.inf, sim[live])
-            k = min(OPEN, beam)
-            pick = np.argpartition(-value, k - 1, axis=1)[:, :k]
-            ok = np.take_along_axis(value, pick, 1) > -np.inf
-            some = ok.any(axis=1)
-            live, pick, ok = live[some], pick[some], ok[some]
-            if not len(live):
-                break
-            at = best[live[:, None], pick]
-            done[live[:, None], pick] = True
-            nb = links[np.where(ok, at, 0)].astype(np.int64)
-            nb = np.where(ok[:, :, None] & (nb >= 0), nb, n).reshape(len(live), -1)
-            nb = np.sort(nb, axis=1)
-            fresh = ~seen[live[:, None], nb]
-            fresh[:, 1:] &= nb[:, 1:] != nb[:, :-1]
-            seen[live[:, None], nb] = True
-            a, b = np.nonzero(fresh)
-            got = np.full(nb.shape, -np.inf, np.float32)
-            got[a, b] = np.einsum("ij,ij->i", x[nb[a, b]], q[live[a]])
-            nb[~fresh] = n
-            all_at = np.concatenate([best[live], nb], axis=1)
-            all_sim = np.concatenate([sim[live], got], axis=1)
-            all_done = np.concatenate([done[live], ~fresh], axis=1)
-            top = np.argpartition(-all_sim, beam - 1, axis=1)[:, :beam]
-            best[live], sim[live], done[live] = (np.take_along_axis(v, top, 1) for v in (all_at, all_sim, all_done))
-        return best, sim
+        return _beam(self.single[rows] if depth else self.single, links, q, start, beam)
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest found of each query: positions (-1 for none) and inner products in double precision."""
@@ -159,10 +199,10 @@ class Graph:
             q = exact.astype(np.float32)
             start = np.zeros(len(q), np.int64)
             for depth in range(len(self.layers) - 1, 0, -1):
-                best, sim = self._beam(q, depth, start, 8)
+                best, sim = self._walk(q, depth, start, 8)
                 at = self.layers[depth][0][best[np.arange(len(q)), sim.argmax(axis=1)]]
                 start = np.searchsorted(self.layers[depth - 1][0], at)
-            best, sim = self._beam(q, 0, start, max(BEAM, k))
+            best, sim = self._walk(q, 0, start, max(BEAM, k))
             width = min(k + 8, best.shape[1])
             top = np.argpartition(-sim, width - 1, axis=1)[:, :width]
             at = np.take_along_axis(best, top, 1)
@@ -202,11 +242,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 def build_index(points: DataFrame) -> DataFrame:
     """Graphs of ``points(vec_id, v)``: a row for each shard with its ids, vectors and each layer's flat arrays.
 
-    Shards are dealt by hash within a dimension and hold about 16,384 rows, or fewer if vectors are long.
+    Shards are dealt by hash within a dimension and hold about 16,384 rows, or fewer if vectors are long. They are
+    dealt to as many tasks as there are shards, which adaptive execution does not merge by their few bytes.
     """
     shape = points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     rows = F.least(F.lit(SHARD_ROWS), F.greatest(F.lit(64), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))).cast("int")))
     shape = shape.select("dim", F.ceil(F.col("n") / rows).cast("int").alias("shards"))
+    tasks = shape.agg(F.sum("shards")).first()[0] or 1
     dealt = points.withColumn("dim", F.size("v")).join(shape, "dim").select("dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"), "vec_id", "v")
 
     def run(table: pa.Table) -> pa.Table:
@@ -219,7 +261,7 @@ def build_index(points: DataFrame) -> DataFrame:
             "rows": pa.array([packed["rows"]], pa.list_(pa.binary())), "links": pa.array([packed["links"]], pa.list_(pa.binary())), "vectors": pa.array([packed["vectors"]], pa.binary()),
         })
 
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids binary, rows array<binary>, links array<binary>, vectors binary")
+    return dealt.repartition(int(tasks), "dim", "shard").groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids binary, rows array<binary>, links array<binary>, vectors binary")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
