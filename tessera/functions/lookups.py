@@ -59,6 +59,11 @@ TASK_STOP_WORDS = [
     "project", "file", "files", "code", "screen", "app", "application", "для", "или", "это", "как", "чтобы", "надо",
     "нужно", "добавь", "измени", "обнови", "улучши", "сделай", "файл", "файлы", "код", "проект",
 ]
+IDENTIFIER_STOP_WORDS = [
+    "add", "change", "create", "edit", "fix", "improve", "make", "replace", "update", "with", "from", "into", "code", "file",
+    "project", "task", "добавь", "измени", "замени", "исправь", "улучши", "код", "файл", "проект", "нужно", "через", "после",
+    "который", "показывает", "отображение",
+]
 #: Readiness checks: key, label, points.
 READINESS_CHECKS = [
     ("readme", "README", 12), ("agents", "AI agent instructions", 15), ("build-script", "Build command", 12),

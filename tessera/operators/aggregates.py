@@ -7,17 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import paths as P
-from ..functions.text import round_half_up, tokenize_hints
+from ..functions.text import let, round_half_up, tokenize_hints
 
 
-def top_hints(files: DataFrame, k: int = 18, chars: int = 12_000) -> DataFrame:
-    """(project_id, path, hints): the k most frequent hint tokens of each file's first characters, ties in binary order."""
-    tokens = files.select("project_id", "path", F.explode(tokenize_hints(F.left("content", F.lit(chars)))).alias("token"))
-    counts = tokens.groupBy("project_id", "path", "token").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("project_id", "path").orderBy(F.desc("n"), "token")
-    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    listed = best.groupBy("project_id", "path").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("t"))
-    return listed.select("project_id", "path", F.transform("t", lambda x: x["token"]).alias("hints"))
+HEADING = r"(?:^|\n)#{1,6}[ \t]+([^\n]+)"
+
+
+def top_hints(files: DataFrame, k: int = 18, chars: int | None = None) -> DataFrame:
+    """(project_id, path, hints): the k most frequent hint tokens of each file, ties in binary order.
+
+    Counted are the tokens of the path and of the content, those of Markdown headings three times in all; ``chars``
+    may bound the content that is read. A file is one row, so tokens are counted within it, by sorting, and nothing is shuffled.
+    """
+    content = F.coalesce("content", F.lit(""))
+    content = content if chars is None else F.left(content, F.lit(chars))
+    heads = F.array_join(F.regexp_extract_all(content, F.lit(HEADING), 1), " ")
+    tokens = F.sort_array(tokenize_hints(F.concat_ws(" ", F.coalesce("path", F.lit("")), content, heads, heads)))
+
+    def counted(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: ~F.get(t, i).eqNullSafe(F.get(t, i - 1)))
+        return F.when(F.size(t) > 0, let(starts, lambda s: F.transform(s, lambda p, i: F.struct((p - F.coalesce(F.get(s, i + 1), F.size(t))).alias("n"), F.get(t, p).alias("token")))))
+
+    best = let(tokens, lambda t: F.slice(F.array_sort(counted(t)), 1, k))
+    return files.select("project_id", "path", F.transform(best, lambda x: x["token"]).alias("hints"))
 
 
 def count_by(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -144,13 +156,16 @@ def diff_totals(diff_files: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, column: str | None = None) -> DataFrame:
-    """(project_id, fingerprint): SHA-256 over the paths in order, each with its content's digest, or with nothing.
+    """(project_id, fingerprint): SHA-256 over a project's paths, each with its content's digest or with nothing.
 
-    Only (path, digest) pairs are gathered for each project, not contents.
+    Lines are digested in order within each of 65,536 buckets of the path's own digest, then the buckets' digests in
+    order, so that no row gathers a project. The value is the library's own; row order does not matter.
     """
-    own = F.concat("path", F.lit("\n")) if column is None else F.concat("path", F.lit(":"), F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256), F.lit("\n"))
-    listed = files.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list(own)), "").alias("all"))
-    return listed.select("project_id", F.sha2("all", 256).alias("fingerprint"))
+    digest = F.lit("") if column is None else F.concat(F.lit(":"), F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256))
+    lines = files.select("project_id", F.left(F.sha2("path", 256), F.lit(4)).alias("bucket"), F.concat("path", digest, F.lit("\n")).alias("line"))
+    whole = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    parts = lines.groupBy("project_id", "bucket").agg(whole("line").alias("part"))
+    return parts.groupBy("project_id").agg(whole(F.concat("bucket", F.lit(":"), "part", F.lit("\n"))).alias("fingerprint"))
 
 
 def request_summary(trace: DataFrame) -> DataFrame:

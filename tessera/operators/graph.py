@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .lineage import cut
 
 
 def pair_tests(files: DataFrame) -> DataFrame:
@@ -41,16 +42,12 @@ def trace(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
         step = newest.join(edge, newest["node"] == edge["a"]).select("task_id", F.col("b").alias("node")).distinct()
         newest = step.join(found.select("task_id", "node"), ["task_id", "node"], "left_anti").withColumn("hop", F.lit(hop))
         found = found.unionByName(newest)
-        if hop < hops and _can_checkpoint(found):
-            found = found.checkpoint()
+        if hop < hops:
+            found = cut(found)
             newest = found.filter(F.col("hop") == hop)
     return found
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def rename_impact(bindings: DataFrame, declared: DataFrame, names: DataFrame) -> DataFrame:
     """(symbol, file, depth): files that a rename of ``names(symbol)`` reaches: where it is declared, then importers of
     those, through re-exports until nothing new is found.
@@ -65,7 +62,7 @@ def rename_impact(bindings: DataFrame, declared: DataFrame, names: DataFrame) ->
         step = bindings.join(via, ["symbol", "module"]).select("symbol", "file", "reexports")
         step = step.groupBy("symbol", "file").agg(F.bool_or("reexports").alias("reexports"))
         fresh = step.join(found.select("symbol", "file"), ["symbol", "file"], "left_anti")
-        fresh = fresh.checkpoint() if _can_checkpoint(fresh) else fresh
+        fresh = cut(fresh)
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh.select("symbol", "file", F.lit(depth).alias("depth")))

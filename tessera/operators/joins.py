@@ -48,10 +48,13 @@ def reverse_edges(edges: DataFrame, kind: str = "imported-by") -> DataFrame:
 def owner_consumer(declared: DataFrame, used: DataFrame, k: int = 8) -> DataFrame:
     """(project_id, symbol, owner, consumer): at most k consumers for each owner of a symbol, in order.
 
-    ``declared``: (project_id, symbol, owner); ``used``: (project_id, symbol, consumer). The cut at k partners for an
-    owner is the operator's own; it is made by rank, on both sides of the shuffle.
+    ``declared``: (project_id, symbol, owner); ``used``: (project_id, symbol, consumer). An owner is no consumer of its
+    own, which takes one away at most, so the k + 1 first consumers of a symbol are all that its owners can need: they
+    are taken before the join, whose rows are thus bounded by k + 1 for each owner.
     """
-    pairs = declared.distinct().join(used.distinct(), ["project_id", "symbol"]).filter("owner <> consumer")
+    first = Window.partitionBy("project_id", "symbol").orderBy("consumer")
+    few = used.select("project_id", "symbol", "consumer").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1).drop("rank")
+    pairs = declared.select("project_id", "symbol", "owner").distinct().join(few, ["project_id", "symbol"]).filter("owner <> consumer")
     order = Window.partitionBy("project_id", "symbol", "owner").orderBy("consumer")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 

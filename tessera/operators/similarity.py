@@ -10,14 +10,17 @@ def near_duplicate_lines(rows: DataFrame, group: str, threshold: float = 0.78) -
     """(group, a, b) of rows ``(group, id, text)`` of one group that say the same: a < b.
 
     The same are equal texts, a text of 24 characters or more that holds the other, and texts that share three tokens
-    or more at a Jaccard similarity of ``threshold``. Only rows that share a token meet.
+    or more at a Jaccard similarity of ``threshold``. Rows meet if they are equal or share a token, so a text that stands
+    within a longer one and shares no whole token with it is not found. Empty texts are left out.
     """
     norm = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     tokens = F.array_distinct(F.filter(F.split(norm, r"[^\p{L}\p{N}_-]+"), lambda w: F.length(w) >= 3))
-    own = rows.select(group, "id", norm.alias("norm"), tokens.alias("tokens"))
-    word = own.select(group, "id", F.explode("tokens").alias("token"))
+    own = rows.select(group, "id", norm.alias("norm"), tokens.alias("tokens")).filter("norm <> ''")
+    # a text is a key of its own, apart from tokens by a mark that no token holds
+    keys = F.concat(F.array(F.concat(F.lit("="), F.col("norm"))), F.col("tokens"))
+    word = own.select(group, "id", F.explode(keys).alias("token"))
     meet = word.alias("x").join(word.alias("y"), [group, "token"]).filter("x.id < y.id")
-    shared = meet.groupBy(group, F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"))
+    shared = meet.groupBy(group, F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count_if(~F.startswith(F.col("x.token"), F.lit("="))).alias("shared"))
     side = lambda n: own.select(group, F.col("id").alias(n), F.col("norm").alias(f"n_{n}"), F.size("tokens").alias(f"t_{n}"))
     both = shared.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
     short, long = F.least(F.length("n_a"), F.length("n_b")), F.col("shared") / (F.col("t_a") + F.col("t_b") - F.col("shared"))

@@ -73,24 +73,27 @@ def pair_tests(spark, sf_dir):
 
 
 @query("ret_trace", """WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-h0 AS (SELECT c_custkey AS task_id, 'c' || c_custkey AS node, 0 AS hop FROM customer WHERE c_custkey % 10 = 0), h1 AS (SELECT DISTINCT task_id, b AS node, 1 AS hop FROM h0 JOIN e ON node = a), h2 AS (SELECT DISTINCT task_id, b AS node, 2 AS hop FROM h1 JOIN e ON node = a), h3 AS (SELECT DISTINCT task_id, b AS node, 3 AS hop FROM h2 JOIN e ON node = a)
+h0 AS (SELECT c_custkey AS task_id, 'c' || c_custkey AS node, 0 AS hop FROM customer), h1 AS (SELECT DISTINCT task_id, b AS node, 1 AS hop FROM h0 JOIN e ON node = a), h2 AS (SELECT DISTINCT task_id, b AS node, 2 AS hop FROM h1 JOIN e ON node = a), h3 AS (SELECT DISTINCT task_id, b AS node, 3 AS hop FROM h2 JOIN e ON node = a)
 SELECT task_id, node, min(hop)::INT AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY ALL""")
 def trace(spark, sf_dir):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = shop_graph(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     edges = edges.unionByName(read(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("a"), name("n", "s_nationkey").alias("b")))
     edges = edges.unionByName(read(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b")))
-    seeds = read(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("task_id"), name("c", "c_custkey").alias("node"))
+    seeds = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), name("c", "c_custkey").alias("node"))
     return G.trace(seeds, edges)
 
 
-@query("ret_rename_impact", """WITH RECURSIVE b AS (SELECT DISTINCT 'f' || l_partkey AS file, 'f' || (l_partkey // 2) AS module, l_partkey % 3 > 0 AS reexports FROM lineitem WHERE l_partkey > 0),
-r AS (SELECT 'f0' AS file, true AS reexports, 0 AS depth UNION ALL SELECT b.file, b.reexports, depth + 1 FROM r JOIN b ON b.module = r.file WHERE r.reexports)
-SELECT 'name' AS symbol, file, min(depth)::INT AS depth FROM r GROUP BY file""")
+@query("ret_rename_impact", """WITH RECURSIVE b AS (SELECT DISTINCT 'f' || l_partkey AS file, 'f' || (l_partkey // 2) AS module, 'n' || l_linenumber AS symbol, l_partkey % 3 > 0 AS reexports FROM lineitem WHERE l_partkey > 0),
+r AS (SELECT DISTINCT 'f' || (l_partkey // 2) AS file, 'n' || l_linenumber AS symbol, true AS reexports, 0 AS depth FROM lineitem WHERE l_partkey % 50 = 1
+UNION ALL SELECT b.file, b.symbol, b.reexports, depth + 1 FROM r JOIN b ON b.module = r.file AND b.symbol = r.symbol WHERE r.reexports)
+SELECT symbol, file, min(depth)::INT AS depth FROM r GROUP BY symbol, file""")
 def rename_impact(spark, sf_dir):
-    """Parts as files of a binary tree of imports, two thirds of which re-export what they import."""
-    item = read(spark, sf_dir, "lineitem").filter("l_partkey > 0").select(
-        F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("file"), F.concat(F.lit("f"), F.expr("l_partkey div 2").cast("string")).alias("module"), F.lit("name").alias("symbol"), (F.col("l_partkey") % 3 > 0).alias("reexports")
-    ).distinct()
-    declared = read(spark, sf_dir, "region").limit(1).select(F.lit("f0").alias("file"), F.lit("name").alias("symbol"))
-    return G.rename_impact(item, declared, declared.select("symbol"))
+    """Parts as files of a binary tree of imports, two thirds of which re-export what they import; order lines name
+    what they import, and every fiftieth part's module declares it."""
+    item = read(spark, sf_dir, "lineitem").filter("l_partkey > 0")
+    module = F.concat(F.lit("f"), F.expr("l_partkey div 2").cast("string"))
+    symbol = F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))
+    bound = item.select(F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("file"), module.alias("module"), symbol.alias("symbol"), (F.col("l_partkey") % 3 > 0).alias("reexports"))
+    declared = item.filter("l_partkey % 50 = 1").select(module.alias("file"), symbol.alias("symbol")).distinct()
+    return G.rename_impact(bound.distinct(), declared, declared.select("symbol").distinct())

@@ -148,12 +148,18 @@ def diff_totals(spark, sf_dir):
     return A.diff_totals(_diff(spark, sf_dir))
 
 
-@query("agg_fingerprint", f"WITH {CONTENT_SQL} SELECT project_id, sha256(string_agg(path || ':' || sha256(content) || chr(10), '' ORDER BY path || ':' || sha256(content) || chr(10))) AS fingerprint FROM content_files GROUP BY 1")
+def _fingerprint_sql(line: str) -> str:
+    return f"""WITH {CONTENT_SQL}, l AS (SELECT project_id, left(sha256(path), 4) AS bucket, {line} || chr(10) AS line FROM content_files),
+b AS (SELECT project_id, bucket || ':' || sha256(string_agg(line, '' ORDER BY line)) || chr(10) AS part FROM l GROUP BY project_id, bucket)
+SELECT project_id, sha256(string_agg(part, '' ORDER BY part)) AS fingerprint FROM b GROUP BY project_id"""
+
+
+@query("agg_fingerprint", _fingerprint_sql("path || ':' || sha256(content)"))
 def fingerprint(spark, sf_dir):
     return A.fingerprint(content_files(spark, sf_dir), "content")
 
 
-@query("agg_fingerprint_paths", f"WITH {CONTENT_SQL} SELECT project_id, sha256(string_agg(path || chr(10), '' ORDER BY path || chr(10))) AS fingerprint FROM content_files GROUP BY 1")
+@query("agg_fingerprint_paths", _fingerprint_sql("path"))
 def fingerprint_paths(spark, sf_dir):
     return A.fingerprint(content_files(spark, sf_dir))
 

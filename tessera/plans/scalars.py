@@ -152,7 +152,11 @@ _HINT_TOKENS = f"""list_filter(regexp_split_to_array(lower(regexp_replace(conten
     lambda w: length(w) BETWEEN 3 AND 32 AND w NOT IN {_in(L.HINT_STOP_WORDS)} AND NOT regexp_matches(w, '^[0-9]+$'))"""
 
 
-@query("agg_top_hints", f"""WITH {CONTENT_SQL}, t AS (SELECT project_id, path, unnest({_HINT_TOKENS.replace("content", "left(content, 12000)")}) AS token FROM content_files),
+_HEADS = r"array_to_string(regexp_extract_all(content, '(?:^|\n)#{1,6}[ \t]+([^\n]+)', 1), ' ')"
+_HINTED = f"(path || ' ' || content || ' ' || {_HEADS} || ' ' || {_HEADS})"
+
+
+@query("agg_top_hints", f"""WITH {CONTENT_SQL}, t AS (SELECT project_id, path, unnest({_HINT_TOKENS.replace("content", _HINTED)}) AS token FROM content_files),
 c AS (SELECT project_id, path, token, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY n DESC, token) AS rn FROM c)
 SELECT project_id, path, string_agg(token, ' ' ORDER BY rn) AS hints FROM r WHERE rn <= 18 GROUP BY ALL""")
 def top_hints(spark, sf_dir):
@@ -175,8 +179,8 @@ def expand_tokens(spark, sf_dir):
 
 
 @query("fn_canonical_symbol", """WITH n AS (SELECT DISTINCT p_name || '_' || p_brand || 'TypeABCDef' AS name FROM part)
-SELECT name, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), '') AS canonical,
-    array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2), ' ') AS parts FROM n""")
+SELECT name, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2 AND NOT list_contains(__STOP__, w)), '') AS canonical,
+    array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2), ' ') AS parts FROM n""".replace("__STOP__", "[" + ", ".join(f"'{w}'" for w in L.IDENTIFIER_STOP_WORDS) + "]"))
 def canonical_symbol(spark, sf_dir):
     name = F.concat("p_name", F.lit("_"), "p_brand", F.lit("TypeABCDef"))
     names = read(spark, sf_dir, "part").select(name.alias("name")).distinct()
@@ -220,18 +224,26 @@ def content_preview(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.content_preview(F.col("html")).alias("preview"))
 
 
-@query("fn_page_hints", """WITH f AS (SELECT page_id, list_concat(list_concat(list_concat(list_concat(
-    regexp_extract_all(html, '(?i)\\btitle\\s*:\\s*["''`]([^"''`]{3,220})["''`]', 1), regexp_extract_all(html, '(?i)\\bdescription\\s*:\\s*["''`]([^"''`]{3,260})["''`]', 1)),
-    regexp_extract_all(html, '(?i)\\baria-label\\s*=\\s*["''`]([^"''`]{3,160})["''`]', 1)), regexp_extract_all(html, '(?i)\\b(?:label|heading|subtitle)\\s*:\\s*["''`]([^"''`]{3,180})["''`]', 1)),
-    regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.{0,260}?)</h[1-3]>', 1)) AS v FROM pages),
-b AS (SELECT page_id, list_filter(list_transform(v, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[{}()\\[\\]`$]', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) BETWEEN 3 AND 260) AS v FROM f)
-SELECT page_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i])[1:24], ' | ') AS hints FROM b""")
+def _concat_all(lists: list[str]) -> str:
+    return lists[0] if len(lists) == 1 else f"list_concat({lists[0]}, {_concat_all(lists[1:])})"
+
+
+_HINTS = _concat_all(["regexp_extract_all(html, '" + p.replace("'", "''") + "', 1)" for p in X.hint_patterns()])
+
+
+@query("fn_page_hints", f"""WITH f AS (SELECT page_id, {_HINTS} AS v FROM pages),"""  + r"""
+b AS (SELECT page_id, list_filter(list_transform(v, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[{}()\[\]`$]', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: length(x) BETWEEN 3 AND 260) AS v FROM f)
+SELECT page_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i])[1:24], ' | ') AS hints FROM b""".replace("\\\\", "\\"))
 def page_hints(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.array_join(X.page_hints(F.col("html")), " | ").alias("hints"))
 
 
-@query("fn_redact_secrets", f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)\\b([A-Z0-9_]*(?:{X.SECRET_KEYS})[A-Z0-9_]*)\\s*[:=]\\s*["''`]?[^\\s"'',`}}]+', '\\1={X.REDACTED}', 'g'),
-    '(?i)\\b(postgres(?:ql)?://)[^\\s@]+@[^\\s"'')`]+', '\\1{X.REDACTED}@<host>', 'g')) AS digest FROM documents""")
+_REDACTED = "text"
+for _pattern, _mark in X.secret_patterns():
+    _REDACTED = "regexp_replace({}, '{}', '{}', 'g')".format(_REDACTED, _pattern.replace("'", "''"), _mark)
+
+
+@query("fn_redact_secrets", f"SELECT doc_id, sha256({_REDACTED}) AS digest FROM documents")
 def redact(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(X.redact_secrets(F.col("text")), 256).alias("digest"))
 
