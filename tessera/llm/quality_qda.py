@@ -117,9 +117,11 @@ def fit(rows: DataFrame, shrink: float = 0.1, ridge: float = 1e-3) -> Model | No
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on every row of ``docs(doc_id, text)`` whose ``labels(doc_id, quality)`` agree on 0 or 1."""
-    rows = docs.select("doc_id", "text").join(labelled(labels, "quality"), "doc_id")
-    return fit(features(rows, "y").select("x", "y"))
+    """Fit on every row of ``docs(doc_id, text)`` whose ``labels(doc_id, quality)`` agree on 0 or 1.
+
+    Labels meet the statistics, so that no text is shuffled.
+    """
+    return fit(features(docs).join(labelled(labels, "quality"), "doc_id").select("x", "y"))
 
 
 def apply(stats: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
