@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
+from .text import let
 
 #: Words that the rules look for, in English and Russian. Fixed values.
 GROUPS = {
@@ -130,24 +131,33 @@ WIDE_DELETE = [("delete", "wide"), ("wipe",)]
 NAMED = r" [^ ]*[a-z0-9_)\]-]\.[a-z]{1,6} "
 
 
-def _in_some(text: Column, rule) -> Column:
-    return F.exists(R.clauses(text), lambda c: R.holds(c, rule, GROUPS))
+def flags(task: Column) -> Column:
+    """The intents of a task as a struct of booleans; its clauses are made once."""
+
+    def some(cs: Column, rule) -> Column:
+        return F.exists(cs, lambda c: R.holds(c, rule, GROUPS))
+
+    return let(R.clauses(task), lambda cs: F.struct(*[some(cs, rule).alias(name) for name, rule in INTENTS.items()]))
 
 
 def intents(task: Column) -> dict[str, Column]:
-    return {name: _in_some(task, rule) for name, rule in INTENTS.items()}
+    found = flags(task)
+    return {name: found[name] for name in INTENTS}
 
 
 def area(task: Column, requested: Column) -> Column:
     """One of nine areas: what was requested, else protected scopes, mixed intents and then single ones, in order."""
-    i = intents(task)
     wish = F.lower(F.trim(requested))
-    out = F
-    for name, words in REQUESTED.items():
-        out = out.when(wish.isin(words), name)
-    for one, other, name in AREAS:
-        out = out.when(i[one] & i[other], name)
-    return out.otherwise("general")
+
+    def ruled(i: Column) -> Column:
+        out = F
+        for name, words in REQUESTED.items():
+            out = out.when(wish.isin(words), name)
+        for one, other, name in AREAS:
+            out = out.when(i[one] & i[other], name)
+        return out.otherwise("general")
+
+    return let(flags(task), ruled)
 
 
 def safety(task: Column) -> Column:
@@ -165,11 +175,16 @@ def safety(task: Column) -> Column:
     def one_file(clause: Column) -> Column:
         return (F.regexp_count(clause, F.lit(NAMED)) == 1) & ~R.has_any(clause, ["all", "everything", "все", "всё", "весь"])
 
-    all_clauses = R.clauses(task)
-    some = lambda rule: F.exists(all_clauses, lambda c: R.holds(c, rule, GROUPS))
-    secret = F.exists(all_clauses, lambda c: R.holds(bare(c), SECRET, GROUPS))
-    generated = some(GENERATED) & ~some(INTENTS["docs"])
-    injection = some(INJECTION) & (some(DELETE) | secret | generated)
-    wide = F.exists(all_clauses, lambda c: R.holds(c, WIDE_DELETE, GROUPS) & ~one_file(c))
-    found = [F.when(secret, "secret"), F.when(generated, "generated"), F.when(injection, "injection"), F.when(~injection & wide, "destructive")]
-    return F.array_compact(F.array(*found))
+    def parts(cs: Column) -> Column:
+        some = lambda rule: F.exists(cs, lambda c: R.holds(c, rule, GROUPS))
+        return F.struct(
+            F.exists(cs, lambda c: R.holds(bare(c), SECRET, GROUPS)).alias("secret"), (some(GENERATED) & ~some(INTENTS["docs"])).alias("generated"),
+            some(INJECTION).alias("injection"), some(DELETE).alias("delete"), F.exists(cs, lambda c: R.holds(c, WIDE_DELETE, GROUPS) & ~one_file(c)).alias("wide"),
+        )
+
+    def reasons(x: Column) -> Column:
+        injection = x["injection"] & (x["delete"] | x["secret"] | x["generated"])
+        found = [F.when(x["secret"], "secret"), F.when(x["generated"], "generated"), F.when(injection, "injection"), F.when(~injection & x["wide"], "destructive")]
+        return F.array_compact(F.array(*found))
+
+    return let(let(R.clauses(task), parts), reasons)
