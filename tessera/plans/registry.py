@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import asking, code, linking, reports, scalars, selecting, tables
+from . import asking, catalog, code, linking, reports, scalars, selecting, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (scalars, reports, linking, tables, asking, code, selecting)
+GROUPS = (scalars, reports, linking, tables, asking, code, selecting, catalog)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
