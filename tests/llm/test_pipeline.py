@@ -39,3 +39,24 @@ def test_stages_and_run(spark, small):
 def test_registered():
     names = list(queries())
     assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names and C.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Nulls, repeats, empty texts and columns of the operators' own names pass every stage; empty tables give empty ones."""
+    good = "The quick brown fox jumps over the lazy dog, and then it rests by the river. " * 8
+    rows = [(1, good + "\nshared line of many documents"), (1, good + "\nshared line of many documents"), (None, "no id: a text of its own"), (2, None), (3, ""), (4, "shared line of many documents"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, mix_tokens string, fp string, component string, th string"
+    docs = spark.createDataFrame([(i, t, None if i == 1 else "en", None if i == 3 else "s0", len(t or ""), 7, "own", "f", "c", "t") for i, t in rows], schema)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert all((r.n_lines, r.mix_tokens, r.fp, r.component, r.th) == (7, "own", "f", "c", "t") for r in got), name
+        assert {r.doc_id for r in got} <= {1, 2, 3, 4, None}, name
+        assert stage(spark, docs.limit(0), small).collect() == [], name
+    left = sorted(((r.doc_id, r.text) for r in C.lines(spark, docs, small).collect()), key=str)
+    assert left == sorted([r for r in rows if r[0] != 4], key=str)  # the last word of 4 went
+    one = sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, docs, small).collect()), key=str)
+    assert one == sorted([rows[0], rows[2], (2, None), rows[5]], key=str)
+    coded = C.encode(spark, docs, small).collect()
+    assert len(coded) == len(rows) and C.encode(spark, docs.limit(0), small).collect() == []

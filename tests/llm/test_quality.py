@@ -4,6 +4,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_qda, quality_rules, queries, toxicity
 
@@ -94,3 +95,60 @@ def test_rules_query_against_sql(spark, small):
     want = con.sql(queries.oracle_sql()["op6_quality_rules"])
     got = queries.op6(spark, small).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The updates of every coordinate, one by one, in the same order of rows."""
+    import math
+
+    p = toxicity.Params(alpha=0.5, beta=1.0, l1=0.3, l2=0.1, epochs=3, seed=5)
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 40, 6)), int(rng.random() < 0.4)) for _ in range(60)]
+    z, n, bias = {}, {}, "bias"
+
+    def weight(k):
+        l1 = 0.0 if k == bias else p.l1
+        zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+        if abs(zk) <= l1:
+            return 0.0
+        return -(zk - math.copysign(l1, zk)) / ((p.beta + math.sqrt(nk)) / p.alpha + p.l2)
+
+    order = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for at in order.permutation(len(rows)).tolist():
+            x, y = rows[at]
+            keys = [*x.tolist(), bias]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k in keys:
+                nk = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(nk + g * g) - math.sqrt(nk)) / p.alpha * w[k]
+                n[k] = nk + g * g
+    model = toxicity.fit(rows, p)
+    want = {k: weight(k) for k in z if k != bias and weight(k)}
+    assert dict(zip(model.index.tolist(), model.weight)) == pytest.approx(want) and model.bias == pytest.approx(weight(bias)) and 0 < len(want) < 40
+
+
+def test_fit_equals_plain_moments(spark):
+    """Means, shrunk covariances, Cholesky factors and offsets from plain numpy over all rows."""
+    rng = np.random.default_rng(2)
+    d = len(quality_qda.NAMES)
+    x = [rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) + y for y, n in ((0, 70), (1, 110))]
+    rows = [(v.tolist(), y) for y in (0, 1) for v in x[y]]
+    model = quality_qda.fit(spark.createDataFrame(rows, "x array<double>, y int").repartition(3), shrink=0.2, ridge=0.01)
+    cov = [np.cov(v, rowvar=False, bias=True) for v in x]
+    pooled = (70 * cov[0] + 110 * cov[1]) / 180
+    for y, n in ((0, 70), (1, 110)):
+        w = 0.2 + 0.8 * d / (d + n)
+        shrunk = (1 - w) * cov[y] + w * (0.5 * pooled + 0.5 * np.diag(np.diag(pooled))) + 0.01 * np.eye(d)
+        factor = np.linalg.cholesky(shrunk)
+        assert np.allclose(model.mean[y], x[y].mean(axis=0)) and np.allclose(model.inverse[y], np.linalg.inv(factor))
+        assert np.isclose(model.offset[y], np.log(n / 180) - np.log(np.diag(factor)).sum())
+    assert quality_qda.fit(spark.createDataFrame(rows[:70], "x array<double>, y int")) is None
+
+
+def test_failed_lines_are_removed(spark):
+    """What is left of a text: its lines without the failing and the blank ones."""
+    text = "A good line here.\n\nHome | Shop | Cart | Help\nAll rights reserved\nAnother good line, short"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(quality_rules.clean_text(F.col("t")).alias("c")).collect()
+    assert [r.c for r in got] == ["A good line here.\nAnother good line, short", "", None]
