@@ -29,7 +29,8 @@ def top_hints(files: DataFrame, k: int = 18, chars: int | None = None) -> DataFr
         return F.when(F.size(t) > 0, let(starts, lambda s: F.transform(s, lambda p, i: F.struct((p - F.coalesce(F.get(s, i + 1), F.size(t))).alias("n"), F.get(t, p).alias("token")))))
 
     best = let(tokens, lambda t: F.slice(F.array_sort(counted(t)), 1, k))
-    return files.select("project_id", "path", F.transform(best, lambda x: x["token"]).alias("hints"))
+    hints = F.coalesce(F.transform(best, lambda x: x["token"]), F.array().cast("array<string>"))
+    return files.select("project_id", "path", hints.alias("hints"))
 
 
 def count_by(rows: DataFrame, key: str, column: str) -> DataFrame:

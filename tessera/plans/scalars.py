@@ -157,8 +157,9 @@ _HINTED = f"(path || ' ' || content || ' ' || {_HEADS} || ' ' || {_HEADS})"
 
 
 @query("agg_top_hints", f"""WITH {CONTENT_SQL}, t AS (SELECT project_id, path, unnest({_HINT_TOKENS.replace("content", _HINTED)}) AS token FROM content_files),
-c AS (SELECT project_id, path, token, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY n DESC, token) AS rn FROM c)
-SELECT project_id, path, string_agg(token, ' ' ORDER BY rn) AS hints FROM r WHERE rn <= 18 GROUP BY ALL""")
+c AS (SELECT project_id, path, token, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY n DESC, token) AS rn FROM c),
+h AS (SELECT project_id, path, string_agg(token, ' ' ORDER BY rn) AS hints FROM r WHERE rn <= 18 GROUP BY ALL)
+SELECT project_id, path, coalesce(hints, '') AS hints FROM content_files LEFT JOIN h USING (project_id, path)""")
 def top_hints(spark, sf_dir):
     from ..operators.aggregates import top_hints as hints
 
