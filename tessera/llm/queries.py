@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, warc
+from . import bpe, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, url_rules, warc
 from .common import table
 
 
@@ -82,6 +82,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+#: (host, path, verdict) of the rules that the URL query judges by.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; URLs that no rule fits are allowed."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8,
         "op9_token_counts": op9,
         "op10_warc": op10,
+        "op11_url_rules": op11,
         "pipeline": pipeline,
     }
 
@@ -181,5 +192,15 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM bits"""
 
 
+URL_SQL = """
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+k(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT r, h || p AS rule, v FROM u JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": _mix_sql(mixing.Mix()), "op6_quality_rules": _rules_sql(), "op10_warc": WARC_SQL}
+    return {"op2_mix_sources": _mix_sql(mixing.Mix()), "op6_quality_rules": _rules_sql(), "op10_warc": WARC_SQL, "op11_url_rules": URL_SQL}
