@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, url_rules, warc
+from . import bpe, conversation, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, url_rules, warc
 from .common import table
 
 
@@ -92,6 +92,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a checksum of ``conv_id:turn``; nulls count as one space."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    role, text = shown("role"), shown("text")
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    made = rows.filter(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.when(kind == 3, 2).otherwise(1).alias("times"))
+    return made.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, what is wrong with them and their cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversation.repair(damaged(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9,
         "op10_warc": op10,
         "op11_url_rules": op11,
+        "op13_conversation_repair": op13,
         "pipeline": pipeline,
     }
 
