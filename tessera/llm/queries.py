@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, url_rules, warc
+from . import alignment, bpe, conversation, hnsw, line_dedup, mixing, quality_qda, quality_rules, simhash, toxicity, url_rules, warc
 from .common import table
 
 
@@ -92,6 +92,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in every text of ``documents``."""
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))[0]
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults put in by a checksum of ``conv_id:turn``; nulls count as one space."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9,
         "op10_warc": op10,
         "op11_url_rules": op11,
+        "op12_alignment": op12,
         "op13_conversation_repair": op13,
         "pipeline": pipeline,
     }
