@@ -13,6 +13,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import materialize, scratch
 BUCKETS = 256
 #: Characters of text whose links are packed together.
 SLICE = 1 << 22
+#: Characters of text whose tokens are laid end to end.
+AT_ONCE = 1 << 18
 #: Distinct pairs that a task counts before it gives them on.
 HELD = 1 << 21
 _LOW = (1 << 32) - 1
@@ -61,50 +64,64 @@ class Aligner:
         self.len_a, self.len_b = (np.array([len(t) for t in v], np.int64) for v in (bytes_a, bytes_b))
         self.same = same_bytes(bytes_a, bytes_b)
         n = len(bytes_a)
+        self.bits_a, self.bits_b = n.bit_length(), len(bytes_b).bit_length()
+        self.bits = self.bits_a + self.bits_b
         ids = [str(i) for i in range(max(n, len(bytes_b)))]
         # an id and what follows it: more of its side, or the end of the side
         self.shown = [i + "," for i in ids[:n]] + [i + "|" for i in ids[:n]] + [i + "," for i in ids[: len(bytes_b)]] + [i + ";" for i in ids[: len(bytes_b)]]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids by both tokenizers, or None where they don't give back a space and the text."""
-        if not text:
-            return None
-        raw = b" " + text.encode("utf-8", "surrogatepass")
+    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each text by both tokenizers; none where they don't give back a space and the text."""
+        spaced = [" " + t for t in texts]
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        a = encode([" " + text], add_special_tokens=False)[0].ids
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw:
-            return None
-        b = self.b.encode(text)
-        if b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return None
-        return np.array(a, np.int64), np.array(b, np.int64)
-
-    def groups(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[int, str]:
-        """(number of groups, digest of ``a1,a2|b1;a3|b2,b3``)."""
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        last_a, last_b = np.isin(end_a, common, assume_unique=True), np.isin(end_b, common, assume_unique=True)
-        n, m = len(self.bytes_a), len(self.bytes_b)
-        what = np.concatenate([a + n * last_a, 2 * n + b + m * last_b])
-        group = np.concatenate([2 * common.searchsorted(end_a), 2 * common.searchsorted(end_b) + 1])
-        text = "".join(map(self.shown.__getitem__, what[np.argsort(group, kind="stable")].tolist()))
-        return len(common), hashlib.sha256(text[:-1].encode()).hexdigest()
-
-    def links(self, text: str):
-        """(n_a, n_b, n_groups, n_links, digest, ids with their same-bytes partner, how often, other pairs, how often)."""
-        found = self.tokens(text)
-        if found is None:
-            none = np.zeros(0, np.int64)
-            return 0, 0, 0, 0, "", none, none, none, none
-        a, b = found
+        a = [e.ids for e in encode(spaced, add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        for k, t in enumerate(spaced):
+            raw = t.encode("utf-8", "surrogatepass")
+            if len(raw) == 1 or b"".join(map(self.bytes_a.__getitem__, a[k])) != raw or b"".join(map(self.bytes_b.__getitem__, b[k])) != raw:
+                a[k], b[k] = [], []
+        return a, b
+
+    def links(self, texts: list[str]):
+        """Links of several texts: (n_a, n_b, n_groups, n_links, digests, even, odd).
+
+        The first four are vectors over texts; a digest is that of ``a1,a2|b1;a3|b2,b3``. even: (text, A id, how often)
+        of the links to same-bytes partners, odd: (text, pair, how often) of the others, each once for a text.
+        The texts' tokens are laid end to end: every text's end is an end on both sides.
+        """
+        ids_a, ids_b = self.tokens(texts)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n) for x, n in ((ids_a, n_a.sum()), (ids_b, n_b.sum())))
         end_a, end_b = self.len_a[a].cumsum(), self.len_b[b].cumsum()
-        n_groups, digest = self.groups(a, b, end_a, end_b)
         # between two neighbouring ends lies one token of each side: a link, and no link lies in two such places
-        ends = np.union1d(end_a, end_b)
-        ia, ib = a[end_a.searchsorted(ends)], b[end_b.searchsorted(ends)]
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")
+        twice = ends[1:] == ends[:-1]
+        common = ends[1:][twice]
+        ends = ends[np.concatenate([[True], ~twice])] if len(ends) else ends
+        text_end = np.concatenate([[0], end_a])[n_a.cumsum()]
+        n_groups, n_links = (np.diff(x.searchsorted(text_end, "right"), prepend=0) for x in (common, ends))
+        at_a, at_b = end_a.searchsorted(ends), end_b.searchsorted(ends)
+        ia, ib, text = a[at_a], b[at_b], text_end.searchsorted(ends)
         even = self.same[ia] == ib
-        same, n_same = np.unique(ia[even], return_counts=True)
-        odd, n_odd = np.unique(ia[~even] << 32 | ib[~even], return_counts=True)
-        return len(a), len(b), n_groups, len(ends), digest, same, n_same, odd, n_odd
+        key = text << self.bits | ia << self.bits_b | ib
+        some, times = np.unique(key[even], return_counts=True)
+        pair = lambda k: (k >> self.bits_b & (1 << self.bits_a) - 1) << 32 | k & (1 << self.bits_b) - 1
+        evens = some >> self.bits, pair(some) >> 32, times
+        some, times = np.unique(key[~even], return_counts=True)
+        return n_a, n_b, n_groups, n_links, self.digests(a, b, end_a, end_b, common, n_a, n_b), evens, (some >> self.bits, pair(some), times)
+
+    def digests(self, a, b, end_a, end_b, common, n_a, n_b) -> list[str]:
+        group_a, group_b = common.searchsorted(end_a), common.searchsorted(end_b)
+        last = lambda g: np.concatenate([g[1:] != g[:-1], [True]]) if len(g) else np.zeros(0, bool)
+        n, m = len(self.bytes_a), len(self.bytes_b)
+        what = np.concatenate([a + n * last(group_a), 2 * n + b + m * last(group_b)])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        shown, at, out = list(map(self.shown.__getitem__, what[order].tolist())), 0, []
+        for k in (n_a + n_b).tolist():
+            out.append(hashlib.sha256("".join(shown[at : at + k])[:-1].encode()).hexdigest() if k else "")
+            at += k
+        return out
 
 
 def same_bytes(bytes_a: list[bytes], bytes_b: list[bytes]) -> np.ndarray:
@@ -149,10 +166,9 @@ def _encode(shared, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     def packed() -> Iterator[tuple]:
         if not odd:
             return
-        first = odd[0][0]
-        pairs = np.concatenate([p for _, p, _ in odd])
-        rids = np.concatenate([np.full(len(p), r - first, np.int32) for r, p, _ in odd])
-        times = np.concatenate([n for _, _, n in odd]).astype(np.int32)
+        rids, pairs, times = (np.concatenate(x) for x in zip(*odd))
+        first = int(rids.min())
+        rids, times = (rids - first).astype(np.int32), times.astype(np.int32)
         order = np.argsort(bucket_of(pairs), kind="stable")
         pairs, rids, times = pairs[order], rids[order], times[order]
         bounds = np.searchsorted(bucket_of(pairs), np.arange(BUCKETS + 1))
@@ -160,20 +176,36 @@ def _encode(shared, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             own = slice(bounds[k], bounds[k + 1])
             yield (None, first, None, None, None, None, None, pairs[own].tobytes(), np.stack([rids[own], times[own]]).tobytes(), k, "pairs")
 
+    def linked(ids: list, rids: list, texts: list[str]) -> None:
+        n_a, n_b, n_groups, n_links, digests, (text, a, times), (odd_text, pairs, n_pairs) = aligner.links(texts)
+        np.add.at(vector, a, 1)
+        bounds = text.searchsorted(np.arange(len(texts) + 1)).tolist()
+        a, times = a.astype(np.int32), times.astype(np.int32)
+        numbers = [x.tolist() for x in (n_a, n_b, n_groups, n_links)]
+        for k, (doc_id, rid) in enumerate(zip(ids, rids)):
+            own = slice(bounds[k], bounds[k + 1])
+            rows.append((doc_id, rid, *(x[k] for x in numbers), digests[k], a[own].tobytes(), times[own].tobytes(), 0, "text"))
+        if len(pairs):
+            odd.append((np.array(rids, np.int64)[odd_text], pairs, n_pairs))
+
     for batch in batches:
         schema = schema or _found_arrow(batch.schema.field("doc_id").type)
+        ids, rids, texts, size_now = [], [], [], 0
         for doc_id, rid, text in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), batch.column("text")):
-            text = text.as_py() or ""
-            n_a, n_b, n_groups, n_links, digest, same, n_same, pairs, n_pairs = aligner.links(text)
-            rows.append((doc_id, rid, n_a, n_b, n_groups, n_links, digest, same.astype(np.int32).tobytes(), n_same.astype(np.int32).tobytes(), 0, "text"))
-            vector[same] += 1
-            if len(pairs):
-                odd.append((rid, pairs, n_pairs))
-            held += len(text) + 64
+            ids.append(doc_id), rids.append(rid), texts.append(text.as_py() or "")
+            size_now += len(texts[-1]) + 64
+            if size_now >= AT_ONCE:
+                linked(ids, rids, texts)
+                held += size_now
+                ids, rids, texts, size_now = [], [], [], 0
             if held >= size:
                 rows.extend(packed())
                 yield record(rows)
-                rows, odd, held = [], [], 0
+                rows.clear(), odd.clear()
+                held = 0
+        if texts:
+            linked(ids, rids, texts)
+            held += size_now
     if schema is not None:
         rows.extend(packed())
         some = np.flatnonzero(vector).astype(np.int32)
