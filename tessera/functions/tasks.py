@@ -45,8 +45,8 @@ GROUPS = {
     "reshape": ["refactor", "cleanup", "restructure", "рефактор*", "без изменения логики"],
     "build": ["build", "tsconfig", "vite", "webpack", "compile", "bundl*", "config", "сборк*", "компиляц*", "конфиг*"],
     "secret_file": [
-        ".env*", "id_rsa", "id_dsa", "id_ed25519", "credentials.json", "service-account.json", "service_account.json", "server.pem",
-        "server.key", "private.pem", "private.key",
+        ".env", ".env.*", "id_rsa", "id_dsa", "id_ed25519", "credentials.json", "service-account.json", "service_account.json", "*.pem",
+        "*.key", "*.p12", "*.pfx",
     ],
     "secret_word": [
         "secret", "secrets", "token", "tokens", "api key", "api-key", "api_key", "apikey", "private key", "private-key", "private_key",

@@ -41,8 +41,8 @@ def workspace_search(spark, sf_dir):
     return C.search(asked, rows.select(F.col("c_custkey").alias("id"), "c_name", "n_name", "c_mktsegment"), [("c_name", 95), ("n_name", 80), ("c_mktsegment", 60)], 32)
 
 
-@query("jon_default_by_key", """WITH t AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'generic' ELSE p_brand END AS tool, CASE WHEN p_partkey % 2 = 0 THEN 'general' ELSE p_type END AS type, min(p_partkey) AS template_id FROM part GROUP BY ALL),
-r AS (SELECT DISTINCT l_orderkey * 10000000 + l_partkey AS request_id, p_brand AS tool, p_type AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
+@query("jon_default_by_key", """WITH t AS MATERIALIZED (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'generic' ELSE p_brand END AS tool, CASE WHEN p_partkey % 2 = 0 THEN 'general' ELSE p_type END AS type, min(p_partkey) AS template_id FROM part GROUP BY ALL),
+r AS MATERIALIZED (SELECT DISTINCT l_orderkey * 10000000 + l_partkey AS request_id, p_brand AS tool, p_type AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
 w AS (SELECT request_id, 0 AS level, tool, type FROM r UNION ALL SELECT request_id, 1, tool, 'general' FROM r UNION ALL SELECT request_id, 2, 'generic', type FROM r UNION ALL SELECT request_id, 3, 'generic', 'general' FROM r),
 b AS (SELECT request_id, arg_min(template_id, level) AS template_id, min(level)::INT AS level FROM w JOIN t USING (tool, type) GROUP BY 1) SELECT request_id, template_id, level FROM r LEFT JOIN b USING (request_id)""")
 def default_by_key(spark, sf_dir):
@@ -100,11 +100,11 @@ def verify_records(spark, sf_dir):
     return C.verify_records(rows.withColumn("digest", digest), ["name", "body"]).select("id", "name", "body", "intact")
 
 
-@query("set_dedupe_pairs", """WITH p AS (SELECT conv_id, turn, trim(regexp_replace(role, '\\s+', ' ', 'g')) AS question, trim(regexp_replace(left(text, 12), '\\s+', ' ', 'g')) AS answer FROM conversations),
+@query("set_dedupe_pairs", """WITH p AS (SELECT conv_id, turn, trim(regexp_replace(role, '\\s+', ' ', 'g')) AS question, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS answer FROM conversations),
 f AS (SELECT conv_id, min(turn) AS pos, arg_min(question, turn) AS question, arg_min(answer, turn) AS answer FROM p WHERE question <> '' AND answer <> '' GROUP BY conv_id, lower(question), lower(answer)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos)::INT AS rank FROM f) SELECT conv_id AS task_id, question, answer, rank FROM r WHERE rank <= 8""")
 def dedupe_pairs(spark, sf_dir):
-    return C.dedupe_pairs(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("pos"), F.col("role").alias("question"), F.left("text", F.lit(12)).alias("answer")))
+    return C.dedupe_pairs(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("pos"), F.col("role").alias("question"), F.col("text").alias("answer")))
 
 
 @query("fn_staleness", f"WITH {PROJECTS_SQL} SELECT project_id, scanned_at < TIMESTAMP '1999-01-15 00:00:00' - INTERVAL 7 DAY AS stale FROM projects")
