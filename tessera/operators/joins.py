@@ -69,16 +69,6 @@ def import_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return best.select("a", "b", "m.distance", "m.via")
 
 
-def token_overlap(queries: DataFrame, files: DataFrame) -> DataFrame:
-    """(query_id, file_id, overlap): how many distinct tokens a query and a file share.
-
-    ``queries``: (query_id, tokens), ``files``: (file_id, tokens), arrays. Tokens meet by equality, never text by text.
-    """
-    q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    f = files.select("file_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    return q.join(f, "token").groupBy("query_id", "file_id").agg(F.count("*").alias("overlap"))
-
-
 def align_changes(changed: DataFrame, selected: DataFrame) -> DataFrame:
     """For each project: changed files that were selected, changed outside the selection, selected only, and a status.
 
