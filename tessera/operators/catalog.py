@@ -14,9 +14,14 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, with
     The limit is clamped to 1 to 100; next_offset is null on the last page.
     """
     limit, offset = max(1, min(100, limit)), max(0, offset)
-    spot = Window.partitionBy(*(within or [F.lit(0)]))
-    numbered = rows.withColumns({"position": F.row_number().over(spot.orderBy(*order)), "total": F.count("*").over(spot)})
-    shown = numbered.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    by = within or ["__all"]
+    grouped = rows if within else rows.withColumn("__all", F.lit(0))
+    # the row number alone, so that each task keeps no more than the page's end of a group; the total apart
+    spot = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    top = grouped.withColumn("position", spot).filter(F.col("position") <= offset + limit).filter(F.col("position") > offset)
+    totals = grouped.groupBy(*by).agg(F.count("*").alias("total"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    shown = top.alias("r").join(totals.alias("t"), same).select("r.*", "t.total").drop("__all")
     return shown.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit)))
 
 
@@ -26,23 +31,6 @@ def counts_of_kinds(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return F.broadcast(wanted).join(rows.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").na.fill(0, ["n"])
 
 
-def search(queries: DataFrame, rows: DataFrame, weights: list[tuple[str, int]], most: int) -> DataFrame:
-    """(query_id, id, score, rank): for each query text the rows that hold it, scored by the first column that does.
-
-    ``queries``: (query_id, text), a list of at most some hundred, which is broadcast; ``rows``: (id, columns of
-    ``weights``). The ``most`` best of each query stay, ties in order of id.
-    """
-    needle = F.lower(F.trim("text"))
-    asked = F.broadcast(queries.select("query_id", needle.alias("needle")).filter("needle <> ''"))
-    score = F
-    for column, points in weights:
-        score = score.when(F.contains(F.lower(column), F.col("needle")), points)
-    hay = F.lower(F.concat_ws("\n", *[c for c, _ in weights]))
-    hits = rows.join(asked, F.contains(hay, F.col("needle"))).withColumn("score", score).filter("score is not null")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", place).filter(F.col("rank") <= most).select("query_id", "id", "score", "rank")
-
-
 def default_by_key(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """(request_id, template_id, level): the default template of each request.
 

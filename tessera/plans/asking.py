@@ -106,9 +106,11 @@ def expand_graph(spark, sf_dir):
 
 
 @query("set_near_duplicate_lines", r"""WITH l AS (SELECT conv_id, turn * 1000 + p AS id, lower(trim(regexp_replace(string_split(text, '. ')[p], '\s+', ' ', 'g'))) AS norm FROM (SELECT conv_id, turn, text, unnest(range(1, len(string_split(text, '. ')) + 1)) AS p FROM conversations)),
-w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(norm, '[^\p{L}\p{N}_-]+'), lambda x: length(x) >= 3)) AS tokens FROM l),
+f AS (SELECT conv_id, norm, min(id) AS id FROM l WHERE norm <> '' GROUP BY ALL),
+w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(norm, '[^\p{L}\p{N}_-]+'), lambda x: length(x) >= 3)) AS tokens FROM f),
 p AS (SELECT x.conv_id, x.id AS a, y.id AS b, x.norm AS na, y.norm AS nb, len(list_intersect(x.tokens, y.tokens)) AS shared, len(x.tokens) AS ta, len(y.tokens) AS tb FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.id < y.id)
-SELECT conv_id, a, b FROM p WHERE na <> '' AND nb <> '' AND (na = nb OR shared >= 1 AND ((least(length(na), length(nb)) >= 24 AND (contains(na, nb) OR contains(nb, na))) OR (least(ta, tb) >= 3 AND shared >= 3 AND shared / (ta + tb - shared) >= 0.78)))""")
+SELECT conv_id, a, b FROM p WHERE (least(length(na), length(nb)) >= 24 AND (contains(na, nb) OR contains(nb, na))) OR (least(ta, tb) >= 3 AND shared >= 3 AND shared / (ta + tb - shared) >= 0.78)
+UNION ALL SELECT f.conv_id, f.id, l.id FROM f JOIN l ON f.conv_id = l.conv_id AND f.norm = l.norm AND f.id < l.id""")
 def duplicate_lines(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\. ")).alias("p", "text"))
     return near_duplicate_lines(rows.select("conv_id", (F.col("turn") * 1000 + F.col("p") + 1).alias("id"), "text"), "conv_id")

@@ -33,14 +33,6 @@ def catalog_stats(spark, sf_dir):
     return C.counts_of_kinds(read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kind")), KINDS)
 
 
-@query("ret_workspace_search", """WITH q AS (SELECT r_regionkey AS query_id, lower(left(trim(r_name), 1)) AS needle FROM region), h AS (SELECT query_id, c_custkey AS id, CASE WHEN contains(lower(c_name), needle) THEN 95 WHEN contains(lower(n_name), needle) THEN 80 WHEN contains(lower(c_mktsegment), needle) THEN 60 END AS score
-    FROM customer JOIN nation ON c_nationkey = n_nationkey, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h WHERE score IS NOT NULL) SELECT query_id, id, score, rank FROM r WHERE rank <= 32""")
-def workspace_search(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    asked = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.left(F.trim("r_name"), F.lit(1)).alias("text"))
-    return C.search(asked, rows.select(F.col("c_custkey").alias("id"), "c_name", "n_name", "c_mktsegment"), [("c_name", 95), ("n_name", 80), ("c_mktsegment", 60)], 32)
-
-
 @query("jon_default_by_key", """WITH t AS MATERIALIZED (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'generic' ELSE p_brand END AS tool, CASE WHEN p_partkey % 2 = 0 THEN 'general' ELSE p_type END AS type, min(p_partkey) AS template_id FROM part GROUP BY ALL),
 r AS MATERIALIZED (SELECT DISTINCT l_orderkey * 10000000 + l_partkey AS request_id, p_brand AS tool, p_type AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
 w AS (SELECT request_id, 0 AS level, tool, type FROM r UNION ALL SELECT request_id, 1, tool, 'general' FROM r UNION ALL SELECT request_id, 2, 'generic', type FROM r UNION ALL SELECT request_id, 3, 'generic', 'general' FROM r),
