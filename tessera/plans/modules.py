@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import modules as M
 from ..functions import paths as P
+from ..functions import text as X
 from ..operators import code_graph as G
+from ..operators import investigation as I
 from ..operators.joins import resolve_imports
 from ..operators.lineage import cut
 from .bindings import read
@@ -169,3 +171,45 @@ def best_evidence(spark, sf_dir):
 @query("ret_evidence_chains", f"""WITH {CODE_SQL}, {_LINKS}, c AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY pos, symbol, related, file)::INT AS rank, symbol, related AS owner, file AS consumer, relation FROM links WHERE role = 'consumer') SELECT * FROM c WHERE rank <= 24""")
 def evidence_chains(spark, sf_dir):
     return G.chains(_links(spark, sf_dir))
+
+
+def _trace(spark, sf_dir):
+    """Traces from each part's file for the symbols that its task names."""
+    found, tasks = code(spark, sf_dir), asked(spark, sf_dir)
+    k = F.col("p_partkey").cast("long")
+    seeds = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.concat(F.lit("p"), (k % 20).cast("string")).alias("project_id"), _path(k).alias("file"), F.lit(0).alias("pos"))
+    named = facts(found).select("project_id", "file", "kind", X.canonical_symbol(F.col("name")).alias("symbol")).filter("symbol <> ''")
+    return I.trace(seeds, tasks.select("task_id", "symbol", "pos"), found.select("project_id", "path", "role"), named, G.edges(found))
+
+
+def _trace_sql(hops: int, most: int) -> str:
+    """The hops as common table expressions, each from the files found last; none of the operator's text is used."""
+    out = f"""{_EDGES}, {_ASKED}, ahead AS MATERIALIZED (SELECT DISTINCT project_id, src, dst FROM e WHERE src <> dst),
+step AS MATERIALIZED (SELECT * FROM (SELECT project_id, src AS parent, dst AS file, 2 AS way, row_number() OVER (PARTITION BY project_id, src ORDER BY dst) AS rn FROM ahead UNION ALL SELECT project_id, dst, src, 3, row_number() OVER (PARTITION BY project_id, dst ORDER BY src) FROM ahead) WHERE rn <= 8),
+decl AS MATERIALIZED (SELECT project_id, path AS file, 'fn' || k AS symbol FROM n UNION SELECT project_id, path, 'r' || k FROM n WHERE q % 3 = 0 UNION SELECT project_id, path, 'sharedtotal' FROM n WHERE q = 1),
+refs AS MATERIALIZED (SELECT project_id, path AS file, 'fn' || unnest([k, parent, k + 40]) AS symbol FROM n UNION SELECT project_id, path, 'r' || after FROM n UNION SELECT project_id, path, 'r' || k FROM n WHERE q = 0 OR q % 3 IN (0, 1, 2) UNION SELECT project_id, path, 'r' || parent FROM n WHERE q > 0 AND q % 3 IN (1, 2)
+  UNION SELECT project_id, path, 'sharedtotal' FROM n UNION SELECT project_id, path, 'fn' || k FROM tests),
+own2 AS MATERIALIZED (SELECT project_id, file, symbol FROM decl UNION SELECT project_id, file, symbol FROM refs),
+f0 AS MATERIALIZED (SELECT k AS task_id, project_id, path AS file, 0 AS hop, 1 AS place, 0 AS way, NULL::VARCHAR AS symbol, NULL::VARCHAR AS parent, [path] AS trail FROM n)"""
+    for h in range(1, hops + 1):
+        out += f""", c{h} AS (SELECT task_id, f.project_id, s.file, s.way, f.place AS pp, 0 AS pos, f.file AS parent, NULL::VARCHAR AS symbol, f.trail FROM f{h - 1} f JOIN step s ON f.project_id = s.project_id AND f.file = s.parent WHERE f.hop = {h - 1}
+  UNION ALL SELECT f.task_id, f.project_id, d.file, 1, f.place, ask.pos, f.file, ask.symbol, f.trail FROM f{h - 1} f JOIN ask ON ask.task_id = f.task_id JOIN own2 o ON o.project_id = f.project_id AND o.file = f.file AND o.symbol = ask.symbol JOIN decl d ON d.project_id = f.project_id AND d.symbol = ask.symbol AND d.file <> f.file WHERE f.hop = {h - 1}),
+b{h} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, file ORDER BY way, pp, pos, parent, symbol) AS rn FROM c{h} c WHERE NOT EXISTS (SELECT 1 FROM f{h - 1} f WHERE f.task_id = c.task_id AND f.file = c.file)) WHERE rn = 1),
+p{h} AS (SELECT b.*, (SELECT max(place) FROM f{h - 1} f WHERE f.task_id = b.task_id) + row_number() OVER (PARTITION BY task_id ORDER BY way, pp, pos, file) AS place FROM b{h} b),
+f{h} AS MATERIALIZED (SELECT * FROM f{h - 1} UNION ALL SELECT task_id, project_id, file, {h}, place, way, symbol, parent, list_append(trail, file) FROM p{h} WHERE place <= {most})"""
+    return out
+
+
+_NODES = _trace_sql(3, 16) + """, have AS MATERIALIZED (SELECT f.task_id, f.file, bool_or(d.symbol IS NOT NULL) AS owns FROM f3 f JOIN ask USING (task_id) JOIN own2 o ON o.project_id = f.project_id AND o.file = f.file AND o.symbol = ask.symbol LEFT JOIN decl d ON d.project_id = f.project_id AND d.file = f.file AND d.symbol = ask.symbol GROUP BY ALL)"""
+
+
+@query("ret_bounded_trace", f"""WITH {CODE_SQL}, {_NODES} SELECT f.task_id, f.project_id, f.file, hop::INT AS hop, place::INT AS place, ['seed', 'defines_symbol', 'imports', 'imported_by'][way + 1] AS way, symbol, parent, array_to_string(trail, '>') AS trail,
+CASE WHEN owns THEN 'producer' WHEN owns IS NULL THEN 'candidate' ELSE 'consumer' END AS role, CASE WHEN owns AND way < 2 THEN 'strong' WHEN owns THEN 'probable' WHEN owns IS NULL THEN 'weak' ELSE 'reference' END AS strength FROM f3 f LEFT JOIN have h ON h.task_id = f.task_id AND h.file = f.file""")
+def bounded_trace(spark, sf_dir):
+    return _trace(spark, sf_dir)[0].withColumn("trail", F.array_join("trail", ">"))
+
+
+@query("ret_trace_ends", f"""WITH {CODE_SQL}, {_NODES}, l AS (SELECT task_id, CASE WHEN contains(file, '.test.') THEN NULL WHEN contains(file, '/components/') OR contains(file, '/hooks/') THEN 'ui' WHEN contains(file, '/db/') THEN 'storage' WHEN contains(file, '/services/') OR contains(file, '/utils/') THEN 'service' WHEN contains(file, '/types/') THEN 'contract' END AS layer FROM f3)
+SELECT task_id, count(*) AS n_files, count(*) >= 16 AS stopped, array_to_string(list_filter(['ui', 'api', 'service', 'storage', 'contract'], lambda x: NOT list_contains(coalesce(list(layer) FILTER (layer IS NOT NULL), []), x)), ',') AS layers FROM l GROUP BY task_id""")
+def trace_ends(spark, sf_dir):
+    return _trace(spark, sf_dir)[1].withColumn("layers", F.array_join("layers", ","))
