@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators import locks as K
 from .bindings import PACKS_SQL, PROJECTS_SQL, packs, projects, read
 
 QUERIES: dict = {}
@@ -132,3 +133,29 @@ def route_in_text(spark, sf_dir):
 def selection_confidence(spark, sf_dir):
     value = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") / 8).otherwise(F.col("l_quantity") + 1)
     return C.selection_confidence(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), value.alias("confidence")))
+
+
+_LOCKS = """sealed AS (SELECT 'cases' AS scope, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS name, doc_id::VARCHAR AS item, coalesce(toxic::VARCHAR, '-') AS v FROM labels UNION ALL SELECT 'project', source, doc_id::VARCHAR, text FROM documents WHERE doc_id % 101 > 0),
+present AS (SELECT 'cases' AS scope, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS name, doc_id::VARCHAR AS item, coalesce(toxic::VARCHAR, '-') AS v FROM labels UNION ALL SELECT 'project', source, doc_id::VARCHAR, text || CASE WHEN doc_id % 97 = 0 THEN '!' ELSE '' END FROM documents WHERE doc_id % 103 > 0),
+d AS (SELECT scope, name, item, t.v IS NOT NULL AS was, n.v IS NOT NULL AS is_now, t.v IS DISTINCT FROM n.v AS differs, left(sha256(item), 4) AS bucket FROM sealed t FULL JOIN present n USING (scope, name, item))"""
+
+
+def _locks(spark, sf_dir):
+    """Documents and labels sealed, and as they are now: some documents are new, some gone, some changed."""
+    labels, docs = read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents")
+    cases = labels.select(F.when(F.col("quality") == 1, "good").otherwise("poor").alias("split"), F.col("doc_id").alias("case_id"), "toxic")
+    files = docs.select(F.col("source").alias("project_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "doc_id")
+    changed = files.filter("doc_id % 103 > 0").withColumn("content", F.concat("content", F.when(F.col("doc_id") % 97 == 0, "!").otherwise("")))
+    return K.items(cases, files.filter("doc_id % 101 > 0"), ["toxic"]), K.items(cases, changed, ["toxic"])
+
+
+@query("agg_lock_verify", f"WITH {_LOCKS} SELECT scope, name, NOT bool_or(differs) AS verified, count(DISTINCT bucket) FILTER (differs) AS changed_buckets, count(*) FILTER (was) AS n_then, count(*) FILTER (is_now) AS n_now FROM d GROUP BY ALL")
+def lock_verify(spark, sf_dir):
+    then, now = _locks(spark, sf_dir)
+    return K.verify(K.buckets(then), K.buckets(now))
+
+
+@query("agg_lock_changes", f"WITH {_LOCKS} SELECT scope, name, item, CASE WHEN NOT was THEN 'added' WHEN NOT is_now THEN 'removed' ELSE 'changed' END AS change FROM d WHERE differs")
+def lock_changes(spark, sf_dir):
+    then, now = _locks(spark, sf_dir)
+    return K.changes(then, now, K.buckets(then), K.buckets(now))

@@ -15,6 +15,7 @@ from ..operators import code_graph as G
 from ..operators import investigation as I
 from ..operators.joins import resolve_imports
 from ..operators.lineage import cut
+from ..operators.retention import retain_seeds
 from .bindings import read
 
 QUERIES: dict = {}
@@ -213,3 +214,43 @@ def bounded_trace(spark, sf_dir):
 SELECT task_id, count(*) AS n_files, count(*) >= 16 AS stopped, array_to_string(list_filter(['ui', 'api', 'service', 'storage', 'contract'], lambda x: NOT list_contains(coalesce(list(layer) FILTER (layer IS NOT NULL), []), x)), ',') AS layers FROM l GROUP BY task_id""")
 def trace_ends(spark, sf_dir):
     return _trace(spark, sf_dir)[1].withColumn("layers", F.array_join("layers", ","))
+
+
+def _retained(spark, sf_dir):
+    """Each part's task selects up to three files of its project, and tries its file's parent, a far one and the parent's parent."""
+    found = code(spark, sf_dir)
+    k = F.col("p_partkey").cast("long")
+    j = k % 20
+    parent = lambda x: F.floor(x / 40) * 20 + j
+    row = lambda n, other, a, b: F.struct(F.lit(n).alias("pos"), other.alias("other"), a.alias("editable"), b.alias("own"))
+    yes, no = F.lit(True), F.lit(False)
+
+    def named(*rows, own):
+        each = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.concat(F.lit("p"), j.cast("string")).alias("project_id"), F.explode(F.array(*rows)).alias("r"))
+        given = each.select("task_id", "project_id", _path(F.col("r.other")).alias("path"), "r.pos", "r.editable", F.col("r.own").alias(own))
+        return given.join(found.select("project_id", "path"), ["project_id", "path"], "left_semi").dropDuplicates(["task_id", "pos"])
+
+    selected = named(row(0, k, yes, no), row(1, k + 20, no, k % 3 == 0), row(2, k + 40, k % 4 > 1, no), own="confirmed")
+    seeds = named(row(0, parent(k), yes, k % 5 > 0), row(1, k + 80, yes, yes), row(2, parent(parent(k)), k % 7 > 0, yes), own="grounded")
+    return retain_seeds(selected, seeds, G.edges(found), 3)
+
+
+_RETAINED = f"""{_EDGES}, here AS MATERIALIZED (SELECT k, project_id, path FROM n), ed AS (SELECT DISTINCT project_id, src, dst FROM e WHERE src <> dst), nb AS MATERIALIZED (SELECT project_id, a AS path, list(DISTINCT b) AS near FROM (SELECT project_id, src AS a, dst AS b FROM ed UNION ALL SELECT project_id, dst, src FROM ed) GROUP BY ALL),
+sel AS MATERIALIZED (SELECT t.k AS task_id, list(h.path ORDER BY pos) AS held, list(pos = 1 AND t.k % 3 > 0 OR pos = 2 AND t.k % 4 <= 1 ORDER BY pos) AS loose FROM n t, (VALUES (0), (1), (2)) v(pos) JOIN here h ON h.k = t.k + 20 * pos GROUP BY 1),
+want AS (SELECT k, 0 AS pos, parent AS other, k % 5 > 0 AS grounded FROM n UNION ALL SELECT k, 1, k + 80, true FROM n UNION ALL SELECT k, 2, (parent // 40) * 20 + k % 20, true FROM n WHERE k % 7 > 0),
+seed AS MATERIALIZED (SELECT w.k AS task_id, row_number() OVER (PARTITION BY w.k ORDER BY pos) AS nth, h.path, grounded, coalesce(near, []) AS near FROM want w JOIN here h ON h.k = w.other LEFT JOIN nb ON nb.project_id = h.project_id AND nb.path = h.path),
+r AS (SELECT task_id, 0 AS step, held, loose, []::VARCHAR[] AS done FROM sel UNION ALL
+  SELECT task_id, step + 1, CASE WHEN o = 'retained' THEN list_prepend(path, rp) WHEN o = 'full' THEN rp ELSE held END, CASE WHEN o = 'retained' THEN list_prepend(false, rl) WHEN o = 'full' THEN rl ELSE loose END, CASE WHEN o IS NULL THEN done ELSE list_append(done, path || '=' || o) END
+  FROM (SELECT *, CASE WHEN path IS NULL OR list_contains(held, path) THEN NULL WHEN NOT grounded THEN 'ungrounded' WHEN NOT list_has_any(held, near) THEN 'unrelated' WHEN len(rp) >= 3 THEN 'full' ELSE 'retained' END AS o
+    FROM (SELECT r.*, seed.path, grounded, near, CASE WHEN len(held) >= 3 AND list_contains(loose, true) THEN list_filter(held, lambda x, i: i <> list_position(loose, true)) ELSE held END AS rp, CASE WHEN len(held) >= 3 AND list_contains(loose, true) THEN list_filter(loose, lambda x, i: i <> list_position(loose, true)) ELSE loose END AS rl
+      FROM r LEFT JOIN seed ON seed.task_id = r.task_id AND nth = step + 1 WHERE step < 3)))"""
+
+
+@query("jon_retained_seeds", f"WITH RECURSIVE {CODE_SQL}, {_RETAINED} SELECT task_id, held[i] AS path, (i - 1)::INT AS pos FROM (SELECT task_id, held, unnest(range(1, len(held) + 1)) AS i FROM r WHERE step = 3)")
+def retained_seeds(spark, sf_dir):
+    return _retained(spark, sf_dir)[0]
+
+
+@query("jon_seed_decisions", f"WITH RECURSIVE {CODE_SQL}, {_RETAINED} SELECT task_id, split_part(d, '=', 1) AS path, split_part(d, '=', 2) AS outcome FROM (SELECT task_id, unnest(done) AS d FROM r WHERE step = 3)")
+def seed_decisions(spark, sf_dir):
+    return _retained(spark, sf_dir)[1]
