@@ -9,7 +9,6 @@ Only the other links are shuffled as pairs.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, _worker
+from .bpe import PerfectHash, Splitter, Vocabulary, _Cache, _worker, splitter, tokenizers_class
 from .common import materialize, scratch
 
 #: Pairs are dealt to this many buckets by hash; a bucket's share of all pairs of two vocabularies is bounded.
@@ -35,15 +34,33 @@ _LOW = (1 << 32) - 1
 
 
 @lru_cache(maxsize=2)
-def _encoders(path_a: str, path_b: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _pieces(path: str):
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    a = Tokenizer.from_file(path_a)
-    a.encode_special_tokens = True
-    a.no_truncation(), a.no_padding()
-    return a, sentencepiece.SentencePieceProcessor(model_file=path_b)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class _Encoded(_Cache):
+    """Pre-token to its ids by A: those that the vocabulary has whole from a table, the others by the merges."""
+
+    known = encoded = staticmethod(tuple)
+
+
+def encoder_parts(path: str, pattern: str) -> tuple:
+    """A's vocabulary, its table of whole pre-tokens with their ids (by the merges themselves), and the split patterns.
+
+    The ids are those of the tokenizers library without special tokens; what it takes for one is plain text here.
+    """
+    vocabulary, split = Vocabulary.from_json(path), splitter(pattern, tokenizers_class)
+    pieces, keys, ids = Splitter(*split), [], []
+    for t in vocabulary.tokens:
+        try:
+            word = t.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if word and [p for part in pieces(word) for p in part] == [word]:
+            keys.append(t), ids.append(tuple(vocabulary.encode_piece(t)))
+    return vocabulary, PerfectHash(keys), ids, split
 
 
 def bytes_of_pieces(path: str) -> list[bytes]:
@@ -58,10 +75,12 @@ def bytes_of_pieces(path: str) -> list[bytes]:
 class Aligner:
     """Encodes texts by both tokenizers and links their tokens; also usable without Spark."""
 
-    def __init__(self, path_a: str, path_b: str, bytes_a: list[bytes], bytes_b: list[bytes]):
-        self.a, self.b = _encoders(path_a, path_b)
-        self.bytes_a, self.bytes_b = bytes_a, bytes_b
+    def __init__(self, vocabulary: Vocabulary, whole: PerfectHash, ids_of: list[tuple], split: tuple[str, str, str], path_b: str, bytes_b: list[bytes]):
+        self.a, self.pieces, self.b = _Encoded(vocabulary, whole, ids_of), Splitter(*split), _pieces(path_b)
+        self.bytes_a = bytes_a = vocabulary.tokens
+        self.bytes_b = bytes_b
         self.len_a, self.len_b = (np.array([len(t) for t in v], np.int64) for v in (bytes_a, bytes_b))
+        self.width = self.len_a.tolist()
         self.same = same_bytes(bytes_a, bytes_b)
         n = len(bytes_a)
         self.bits_a, self.bits_b = n.bit_length(), len(bytes_b).bit_length()
@@ -72,13 +91,14 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text by both tokenizers; none where they don't give back a space and the text."""
-        spaced = [" " + t for t in texts]
-        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        a = [e.ids for e in encode(spaced, add_special_tokens=False)]
+        a, get = [], self.a.__getitem__
         b = self.b.encode(texts, num_threads=1)
-        for k, t in enumerate(spaced):
-            raw = t.encode("utf-8", "surrogatepass")
-            if len(raw) == 1 or b"".join(map(self.bytes_a.__getitem__, a[k])) != raw or b"".join(map(self.bytes_b.__getitem__, b[k])) != raw:
+        for k, t in enumerate(texts):
+            raw = (" " + t).encode("utf-8", "surrogatepass")
+            ids = [i for part in self.pieces(" " + t) for own in map(get, part) for i in own] if t else []
+            a.append(ids)
+            # A's tokens of a pre-token are its bytes, so theirs are the text's if the pre-tokens leave nothing out
+            if len(raw) == 1 or sum(map(self.width.__getitem__, ids)) != len(raw) or b"".join(map(self.bytes_b.__getitem__, b[k])) != raw:
                 a[k], b[k] = [], []
         return a, b
 
@@ -285,9 +305,11 @@ def _vector(df: DataFrame, column: str, size: int) -> np.ndarray:
     return out
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, slice_chars: int = SLICE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, slice_chars: int = SLICE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, pairs, partners) of the whole texts of ``docs`` by tokenizers file ``path_a`` and sentencepiece model ``path_b``.
 
+    ``pattern`` splits texts before A's merges.
+
     texts: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row for each input row. pairs:
     (a, b, n), the links that are not between tokens of the same bytes, with how many texts hold each; partners: (a,
     b, n), those that are. ``n_best`` counts links whose ``n`` is the highest of their A id, ties included; ``count_sum``
@@ -301,8 +323,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, slice_chars: int = SLICE) -
     text. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    bytes_a, bytes_b = Vocabulary.from_json(path_a).tokens, bytes_of_pieces(path_b)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, (path_a, path_b, bytes_a, bytes_b)))
+    parts, bytes_b = encoder_parts(path_a, pattern), bytes_of_pieces(path_b)
+    bytes_a = parts[0].tokens
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, (*parts, path_b, bytes_b)))
     path = scratch(spark, "alignment")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_FOUND}"
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")

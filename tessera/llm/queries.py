@@ -94,7 +94,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers align in every text of ``documents``."""
-    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))[0]
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), pattern())[0]
 
 
 def damaged(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tessera.llm import alignment, queries
 from tessera.llm.common import table
 from tokenizers import Tokenizer
 
-PATHS = [public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+PATHS = [*(public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")), public_tokenizers.PATTERN]
 
 
 def byte_of():
