@@ -29,17 +29,21 @@ def _pick(values: list[str], at):
     return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_id, path, size_bytes): a path inventory of 20 projects, dealt out by part key."""
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, project_id, path, size_bytes): the path that each part stands for; several may stand for one."""
     part = read(spark, sf_dir, "part")
     k = F.col("p_partkey").cast("int")
     slug = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), k.cast("string"), _pick(ENDINGS, k % len(ENDINGS)))
     name = F.when(k % 3 == 0, _pick(NAMES, F.floor(k / 3).cast("int") % len(NAMES))).otherwise(slug)
     folder = _pick(FOLDERS, F.floor(k / 2).cast("int") % len(FOLDERS))
     path = F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), name)
-    rows = part.select(F.concat(F.lit("p"), (k % 20).cast("string")).alias("project_id"), path.alias("path"), F.col("p_size").cast("long").alias("size_bytes"))
+    return part.select(k.alias("part"), F.concat(F.lit("p"), (k % 20).cast("string")).alias("project_id"), path.alias("path"), F.col("p_size").cast("long").alias("size_bytes"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, size_bytes): a path inventory of 20 projects, dealt out by part key."""
     # The path as an aggregate: filters on it stay above, so that its long expression is computed once.
-    once = rows.groupBy("project_id", "path").agg(F.min("size_bytes").alias("size_bytes"), F.min("path").alias("own"))
+    once = part_files(spark, sf_dir).groupBy("project_id", "path").agg(F.min("size_bytes").alias("size_bytes"), F.min("path").alias("own"))
     return once.select("project_id", F.col("own").alias("path"), "size_bytes")
 
 

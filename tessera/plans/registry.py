@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import asking, catalog, code, finding, linking, modules, reports, scalars, selecting, tables
+from . import asking, assembling, catalog, code, finding, linking, modules, reports, scalars, selecting, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (scalars, reports, linking, tables, asking, code, selecting, catalog, modules, finding)
+GROUPS = (scalars, reports, linking, tables, asking, code, selecting, catalog, modules, finding, assembling)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
