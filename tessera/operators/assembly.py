@@ -136,7 +136,7 @@ def _facts(window: DataFrame, tasks: DataFrame) -> DataFrame:
     role, area, kind = F.col("role"), F.col("area"), F.col("kind")
     served = [signal(s) & role.isin(roles) for s, roles in SERVES.items()]
     rows = rows.withColumns({
-        "mention": F.coalesce(F.greatest(F.lit(4000), 30000 - 100 * (at - 1)), F.lit(0)), "domain": F.coalesce(18000 + F.least(F.lit(8000), 500 * long), F.lit(0)),
+        "mention": F.when(at.isNotNull(), F.greatest(F.lit(4000), 30000 - 100 * (at - 1))).otherwise(0), "domain": F.when(long.isNotNull(), 18000 + F.least(F.lit(8000), 500 * long)).otherwise(0),
         "symbol": F.when(F.col("symbol_hits") > 0, F.when(F.length(F.regexp_replace(P.stem(F.col("name")), "[^a-z0-9]", "")) >= 9, 55000).otherwise(28000)).otherwise(0),
         "meant": P.any_of(served), "primary": S.usage(area, F.col("review_only")) == "inspect-and-edit",
         "front": kind.isin("source", "style", "test") & role.isin(FRONTEND), "back": kind.isin("source", "style", "test") & role.isin(BACKEND), "test": (kind == "test") | (role == "test"),
