@@ -6,6 +6,8 @@ edges by (project, anchor, candidate), three pairs at most for each candidate, n
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,18 +176,17 @@ def _traits(pairs: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for name, test in pairs.items()]))
 
 
+_SEAT = "want:array<string>,unless:array<string>,given:array<string>,by:int,soft:boolean"
+
+
 def _choose(rows: DataFrame, seats: dict[str, list[dict]], key: Column, chosen: Column | None = None) -> DataFrame:
     """Rows of a task with ``files`` (array of path, traits and places in each order) and their ``picked`` paths in turn.
 
     Each seat takes the first file of its order that fits and is not chosen. A task has some dozens of files and seats.
     """
-    table = F
-    for name, own in seats.items():
-        literal = F.array(*[
-            F.struct(X.strings(*s["want"]).alias("want"), X.strings(*s["unless"]).alias("unless"), X.strings(*s["given"]).alias("given"), F.lit(ORDERS.index(s["by"])).alias("by"), (F.lit(s["cap"]) == "soft").alias("soft"))
-            for s in own
-        ])
-        table = table.when(key == name, literal)
+    # one constant for all areas: a table of literals would take thousands of calls to build
+    plain = {name: [{**s, "by": ORDERS.index(s["by"]), "soft": s["cap"] == "soft"} for s in own] for name, own in seats.items()}
+    table = F.element_at(F.from_json(F.lit(json.dumps(plain)), f"map<string,array<struct<{_SEAT}>>>"), key)
 
     def take(picked: Column, s: Column) -> Column:
         has = lambda x, names: F.arrays_overlap(x["traits"], names)
