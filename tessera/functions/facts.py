@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let, quoted
+
 #: Words of the language and of common libraries that facts hang on. Fixed values.
 DECLARATIONS = ["function", "class", "const", "let", "var", "interface", "type", "enum", "namespace"]
 TYPES = ["function", "class", "interface", "type", "enum"]
@@ -36,10 +38,6 @@ def _call(names: str, argument: str = TEXT) -> str:
     return BEFORE + names + r"\s*\(\s*" + argument
 
 
-def _keyed(names: list[str]) -> str:
-    return BEFORE + _one_of(names) + r"\s*:\s*" + TEXT
-
-
 def _after(words: str, name: str = f"({NAME})") -> str:
     return BEFORE + words + r"\s+" + name
 
@@ -55,23 +53,33 @@ PATTERNS = {
     "export": _after(r"export\s+(?:" + _one_of(MODIFIERS) + r"\s+)*" + _one_of(DECLARATIONS)),
     "export_list": BEFORE + r"export\s+(?:type\s+)?\{([^{}]*)\}",
     "symbol": _after(_one_of(TYPES)),
-    "route": _call(_one_of(ROUTERS) + r"\." + _one_of(VERBS)),
-    "route_key": _keyed(ROUTE_KEYS),
     "state": r"\[\s*(" + NAME + r")\s*,\s*" + NAME + r"\s*\]\s*=\s*(?:React\.)?" + _one_of(STATE_HOOKS),
     "store": _after("(?:const|let|var)", f"({NAME})" + r"\s*=\s*" + _one_of(STORES) + r"\s*[(<]"),
     "assignment": r"(?m)^\s*(" + NAME + r")\s*=[^=>]",
     "property": r"(?m)(?:^|[{,])[ \t]*(" + NAME + r")\??\s*:",
-    "translation": _call(_one_of(TRANSLATORS)),
-    "translation_key": _keyed(TRANSLATION_KEYS),
     "literal": MARK + "([^\"'`\\n]{2,220})" + MARK,
 }
 
 
+#: Facts that are quoted values behind a name and a sign: calls and keys.
+QUOTED = {
+    "route": ("(", [f"{r}.{v}" for r in ROUTERS for v in VERBS]), "route_key": (":", ROUTE_KEYS), "translation": ("(", TRANSLATORS), "translation_key": (":", TRANSLATION_KEYS),
+}
+
+
 def facts(content: Column) -> Column:
     """All facts of a text as an array of (kind, value, pos), each value once for its kind, in order."""
 
-    def one(kind: str) -> Column:
-        values = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(content, F.lit(PATTERNS[kind]), 1), lambda x: F.trim(x)), lambda x: x != ""))
-        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("pos")))
+    def listed(kind: str, values: Column) -> Column:
+        once = F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
+        return F.transform(once, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("pos")))
+
+    def behind(found: Column, sign: str, names: list[str]) -> Column:
+        own = F.filter(found, lambda x: (x["sign"] == sign) & F.substring_index(x["name"], "-", -1).isin(names))
+        return F.transform(own, lambda x: x["value"])
+
+    def named(found: Column) -> Column:
+        return F.flatten(F.array(*[listed(k, behind(found, sign, names)) for k, (sign, names) in QUOTED.items()]))
 
-    return F.flatten(F.array(*[one(k) for k in PATTERNS]))
+    matched = F.flatten(F.array(*[listed(k, F.regexp_extract_all(content, F.lit(p), 1)) for k, p in PATTERNS.items()]))
+    return F.concat(matched, let(quoted(content), named))

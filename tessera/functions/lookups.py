@@ -72,3 +72,12 @@ READINESS_CHECKS = [
 ]
 #: Scores of benchmark severities when a case names no weight.
 SEVERITY_WEIGHT = {"critical": 8, "high": 5, "medium": 3, "low": 1}
+
+#: First words of the names of utilities, and of services of a server. Fixed values.
+UTILITY_STEMS = [
+    "calculation", "calculations", "formatter", "formatters", "validator", "validators", "parser", "parsers", "classify", "scoring", "risk", "appearance",
+]
+SERVICE_STEMS = ["auth", "session", "queue", "worker", "processor", "provider", "manager", "ai"]
+#: Names of configurations by their first word, everywhere and within a server. Fixed values.
+CONFIG_STEMS = ["robots", "sitemap", "manifest", "middleware"]
+SERVER_CONFIG_STEMS = ["config", "settings"]

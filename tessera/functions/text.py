@@ -142,52 +142,103 @@ def content_preview(text: Column, n: int = 360) -> Column:
     return F.left(squeeze(bare), F.lit(n))
 
 
-#: Keys, attributes and elements whose texts tell what a page is about, and the most characters of each. Fixed values.
-HINT_KEYS = [(["title"], 220), (["description"], 260), (["label", "heading", "subtitle"], 180)]
-HINT_ATTRIBUTES = [(["aria-label"], 160)]
-HINT_ELEMENTS = [(["h1", "h2", "h3"], 260)]
-_QUOTE = "[\"'`]"
-
-
-def hint_patterns() -> list[str]:
-    """For each list of names a pattern whose group is the text behind them; ended by a quote, or by the element's end."""
-    out = []
-    for sign, lists in ((":", HINT_KEYS), ("=", HINT_ATTRIBUTES)):
-        for names, most in lists:
-            out.append(rf"(?i)\b(?:{'|'.join(names)})\s*{sign}\s*{_QUOTE}([^\"'`]{{3,{most}}}){_QUOTE}")
-    for names, most in HINT_ELEMENTS:
-        end = "|".join(names)
-        out.append(rf"(?is)<(?:{end})(?:\s[^>]*)?>(.{{0,{most}}}?)</(?:{end})>")
-    return out
+def quoted(text: Column) -> Column:
+    """(name, sign, value) of every value between two quotes that a name and one of ``: = (`` stand before.
+
+    Found by splitting at quotes, so that no value hides another one; name and sign count within 120 characters.
+    """
+    pieces = F.split(text, "[\"'`]")
+
+    def one(p: Column) -> Column:
+        before = lambda i: F.right(F.regexp_replace(F.get(p, i - 1), r"\s+$", ""), F.lit(120))
+        rows = F.transform(p, lambda v, i: F.struct(
+            F.regexp_extract(before(i), r"([\w.$-]+)\s*[:=(]$", 1).alias("name"), F.right(before(i), F.lit(1)).alias("sign"), v.alias("value"),
+        ))
+        return F.filter(rows, lambda x, i: (i >= 1) & (i < F.size(p) - 1) & (x["name"] != ""))
+
+    return let(pieces, one)
+
+
+#: Names whose quoted values tell what a page is about, by the sign behind them, with the most characters. Fixed values.
+HINT_NAMES = [
+    (":", "title", 220), (":", "description", 260), (":", "label", 180), (":", "heading", 180), (":", "subtitle", 180), ("=", "aria-label", 160),
+]
+#: Headings that do so, and the most characters. Fixed values.
+HINT_HEADINGS = ["h1", "h2", "h3"]
+HEADING_LIMIT = 260
+
+
+def headings(html: Column) -> Column:
+    """What stands between the end of a heading and the last opening of one before it."""
+    names = "|".join(HINT_HEADINGS)
+    ended = F.split(html, f"(?i)</(?:{names})>")
+    inner = F.transform(ended, lambda x: F.split(x, rf"(?i)<(?:{names})(?:\s[^>]*)?>"))
+    opened = F.filter(inner, lambda x, i: (i < F.size(ended) - 1) & (F.size(x) > 1))
+    return F.filter(F.transform(opened, lambda x: F.element_at(x, -1)), lambda x: F.length(x) <= HEADING_LIMIT)
 
 
 def page_hints(html: Column, most: int = 24) -> Column:
-    """Texts of the hint keys, attributes and elements, tags stripped, 3 to 260 characters, each once."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(p), 1) for p in hint_patterns()]))
+    """Texts of the hint names, by name and then in order, and of headings: tags stripped, 3 to 260 characters, each once."""
+
+    def one(q: Column, sign: str, name: str, longest: int) -> Column:
+        own = lambda x: (F.lower(x["name"]) == name) | any_end(F.lower(x["name"]), [c + name for c in ".-$"])
+        return F.filter(q, lambda x: (x["sign"] == sign) & own(x) & F.length(x["value"]).between(3, longest))
+
+    def values(q: Column) -> Column:
+        return F.transform(F.flatten(F.array(*[one(q, *hint) for hint in HINT_NAMES])), lambda x: x["value"])
+
+    found = F.concat(let(quoted(html), values), headings(html))
     bare = F.transform(found, lambda x: squeeze(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"[{}()\[\]`$]", " ")))
     return F.slice(F.array_distinct(F.filter(bare, lambda x: F.length(x).between(3, 260))), 1, most)
 
 
+def any_end(text: Column, ends: list[str]) -> Column:
+    out = F.lit(False)
+    for end in ends:
+        out = out | F.endswith(text, F.lit(end))
+    return out
+
+
 #: Parts of names whose values are secrets, schemes of connection strings, and what replaces a value. Fixed values.
 SECRET_KEYS = ["SECRET", "TOKEN", "PASSWORD", "PASS", "API_KEY", "PRIVATE_KEY", "DATABASE_URL", "CLIENT_SECRET", "ACCESS_KEY"]
 SECRET_SCHEMES = ["postgres", "postgresql"]
 REDACTED = "<redacted>"
+#: Any name with what is set or given to it, through up to 51 signs (then another chain begins, so that matches need
+#: little stack), and any address with credentials.
+_VALUE = "[\"'`]?[^\\s\"',`}:=]+"
+ASSIGNED = rf"\b\w+\s*[:=]+\s*{_VALUE}(?:\s*(?::=|[:=])\s*{_VALUE}|[:=]+{_VALUE}){{0,50}}[:=]*"
+ADDRESS = "\\b[A-Za-z][A-Za-z0-9+.-]*://[^\\s@]+@[^\\s\"',`})]+"
 
 
-def secret_patterns() -> list[tuple[str, str]]:
-    """(pattern, what replaces a match, with \\1 for its group): values set or given to a secret-like name, and the
-    credentials and hosts of connection strings."""
-    ends = "\\s\"',`}"
-    named = rf"(?i)\b(\w*(?:{'|'.join(SECRET_KEYS)})\w*)\s*[:=]\s*{_QUOTE}?[^{ends}]+"
-    urls = rf"(?i)\b((?:{'|'.join(SECRET_SCHEMES)})://)[^\s@]+@[^{ends})]+"
-    return [(named, rf"\1={REDACTED}"), (urls, rf"\1{REDACTED}@<host>")]
+def _each(text: Column, pattern: str, change) -> Column:
+    """A text with each match of a pattern changed."""
+    rest, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0)
+    return F.array_join(F.zip_with(rest, F.transform(found, change), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def redact_secrets(text: Column) -> Column:
-    """Values of secret-like keys and credentials of connection strings give way to a mark."""
-    for pattern, mark in secret_patterns():
-        text = F.regexp_replace(text, pattern, mark.replace("\\1", "$1"))
-    return text
+    """What is set or given to a secret-like name, and credentials and hosts of connection strings, give way to a mark.
+
+    A name holds one of the keys in any case. In a chain of names and signs all behind the first such name goes.
+    """
+
+    def assigned(m: Column) -> Column:
+        def cut(parts: Column) -> Column:
+            last = lambda p: F.upper(F.regexp_extract(F.right(p, F.lit(200)), r"(\w+)\s*$", 1))
+            at = F.array_position(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.exists(strings(*SECRET_KEYS), lambda k: F.contains(last(p), k))), True).cast("int")
+            kept = F.left(m, F.length(F.array_join(F.slice(parts, 1, at), ":")))
+            return F.when(at > 0, F.concat(F.regexp_replace(kept, r"\s+$", ""), F.lit("=" + REDACTED))).otherwise(m)
+
+        return let(F.split(m, "[:=]"), cut)
+
+    def address(m: Column) -> Column:
+        out = m
+        for scheme in SECRET_SCHEMES:
+            at = F.locate(scheme + "://", F.lower(m))
+            out = F.when(at > 0, F.concat(F.left(m, at + len(scheme) + 2), F.lit(REDACTED + "@<host>"))).otherwise(out)
+        return out
+
+    return _each(_each(text, ASSIGNED, assigned), ADDRESS, address)
 
 
 def snippet(text: Column, query: Column) -> Column:

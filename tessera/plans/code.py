@@ -8,6 +8,7 @@ from ..functions import facts as X
 from ..operators import graph as G
 from .bindings import FILES_SQL, files, read
 from .linking import graph as shop_graph
+from .scalars import _in, quoted_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,8 +41,16 @@ content AS (SELECT p_partkey, concat_ws(chr(10), 'import { ' || slug || ' } from
     'export class ' || slug || k || ' {}', 'router.get(''/items/' || k || ''', run); app.use("/api")', 'const [open' || k || ', setOpen] = useState(false); t(''menu.' || slug || ''')') AS content FROM src)"""
 
 
-@query("fn_source_facts", f"WITH {_SOURCES}, v AS (" + " UNION ALL ".join(
+_BEHIND = [
+    ("route", "(", [f"{r}.{v}" for r in ("router", "app") for v in ("get", "post", "put", "patch", "delete", "use")]), ("route_key", ":", ["path", "routePath"]),
+    ("translation", "(", ["t", "translate", "i18n.t"]), ("translation_key", ":", ["labelKey", "descriptionKey", "titleKey", "translationKey"]),
+]
+
+
+@query("fn_source_facts", f"""WITH {_SOURCES}, pieces AS MATERIALIZED (SELECT p_partkey, regexp_split_to_array(content, '["''`]') AS pieces FROM content), quotes AS MATERIALIZED (SELECT p_partkey, {quoted_sql("pieces")} AS qs FROM pieces), v AS (""" + " UNION ALL ".join(
     "SELECT p_partkey, '{}' AS kind, list_filter(list_transform(regexp_extract_all(content, '{}', 1), lambda x: trim(x)), lambda x: x <> '') AS v FROM content".format(k, p.replace("'", "''")) for k, p in X.PATTERNS.items()
+) + "".join(
+    f" UNION ALL SELECT p_partkey, '{k}', list_filter(list_transform(list_filter(qs, lambda x: x.s = '{s}' AND string_split(x.n, '-')[-1] IN {_in(n)}), lambda x: trim(x.v)), lambda x: x <> '') FROM quotes" for k, s, n in _BEHIND
 ) + """), d AS (SELECT p_partkey, kind, list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i]) AS v FROM v)
 SELECT p_partkey, kind, v[i] AS value, (i - 1)::INT AS pos FROM (SELECT p_partkey, kind, v, unnest(range(1, len(v) + 1)) AS i FROM d)""")
 def source_facts(spark, sf_dir):

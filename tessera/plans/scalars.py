@@ -229,22 +229,42 @@ def _concat_all(lists: list[str]) -> str:
     return lists[0] if len(lists) == 1 else f"list_concat({lists[0]}, {_concat_all(lists[1:])})"
 
 
-_HINTS = _concat_all(["regexp_extract_all(html, '" + p.replace("'", "''") + "', 1)" for p in X.hint_patterns()])
+def quoted_sql(pieces: str) -> str:
+    """Of a column of pieces between quotes: a list of (n, s, v), the name and the sign before each value."""
+    before = f"right(regexp_replace({pieces}[i - 1], '\\s+$', ''), 120)"
+    rows = f"list_transform(range(2, len({pieces})), lambda i: {{'n': regexp_extract({before}, '([\\w.$-]+)\\s*[:=(]$', 1), 's': right({before}, 1), 'v': {pieces}[i]}})"
+    return f"list_filter({rows}, lambda x: x.n <> '')"
 
 
-@query("fn_page_hints", f"""WITH f AS (SELECT page_id, {_HINTS} AS v FROM pages),"""  + r"""
+_HINT_LISTS = [(":", "title", 220), (":", "description", 260), (":", "label", 180), (":", "heading", 180), (":", "subtitle", 180), ("=", "aria-label", 160)]
+_HINTS = _concat_all([
+    f"list_transform(list_filter(qs, lambda x: x.s = '{sign}' AND regexp_matches(lower(x.n), '(^|[.$-]){name}$') AND length(x.v) BETWEEN 3 AND {most}), lambda x: x.v)" for sign, name, most in _HINT_LISTS
+] + ["list_filter(list_transform(list_filter(list_transform(ended[:-2], lambda x: regexp_split_to_array(x, '(?i)<(?:h1|h2|h3)(?:\\s[^>]*)?>')), lambda x: len(x) > 1), lambda x: x[-1]), lambda x: length(x) <= 260)"])
+
+
+@query("fn_page_hints", f"""WITH p0 AS MATERIALIZED (SELECT page_id, regexp_split_to_array(html, '["''`]') AS pieces, regexp_split_to_array(html, '(?i)</(?:h1|h2|h3)>') AS ended FROM pages), p1 AS MATERIALIZED (SELECT page_id, ended, {quoted_sql("pieces")} AS qs FROM p0),
+f AS (SELECT page_id, {_HINTS} AS v FROM p1),"""  + r"""
 b AS (SELECT page_id, list_filter(list_transform(v, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[{}()\[\]`$]', ' ', 'g'), '\s+', ' ', 'g'))), lambda x: length(x) BETWEEN 3 AND 260) AS v FROM f)
 SELECT page_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i])[1:24], ' | ') AS hints FROM b""".replace("\\\\", "\\"))
 def page_hints(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.array_join(X.page_hints(F.col("html")), " | ").alias("hints"))
 
 
-_REDACTED = "text"
-for _pattern, _mark in X.secret_patterns():
-    _REDACTED = "regexp_replace({}, '{}', '{}', 'g')".format(_REDACTED, _pattern.replace("'", "''"), _mark)
+_V = "[\"''`]?[^\\s\"'',`}:=]+"
+_SET = rf"\b\w+\s*[:=]+\s*{_V}(?:\s*(?::=|[:=])\s*{_V}|[:=]+{_V}){{0,50}}[:=]*"
+_AT = "\\b[A-Za-z][A-Za-z0-9+.-]*://[^\\s@]+@[^\\s\"'',`})]+"
+_KEY = "(SECRET|TOKEN|PASS|API_KEY|PRIVATE_KEY|DATABASE_URL|ACCESS_KEY)"
 
 
-@query("fn_redact_secrets", f"SELECT doc_id, sha256({_REDACTED}) AS digest FROM documents")
+@query("fn_redact_secrets", rf"""WITH m AS MATERIALIZED (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{_SET}'))) AS m FROM documents),
+g AS MATERIALIZED (SELECT doc_id, regexp_split_to_array(text, '{_SET}') AS rest, regexp_extract_all(text, '{_SET}') AS found FROM documents),
+s AS (SELECT m, regexp_split_to_array(m, '[:=]') AS parts FROM (SELECT DISTINCT m FROM m)),
+k AS (SELECT m, parts, list_position(list_transform(parts[:-2], lambda p: regexp_matches(upper(regexp_extract(p, '(\w+)\s*$', 1)), '{_KEY}')), true) AS spot FROM s),
+c AS MATERIALIZED (SELECT map_from_entries(list((m, regexp_replace(left(m, length(array_to_string(parts[1:spot], ':'))), '\s+$', '') || '=<redacted>'))) AS how FROM k WHERE spot > 0),
+o AS MATERIALIZED (SELECT doc_id, array_to_string(list_transform(range(1, len(rest) + 1), lambda i: rest[i] || CASE WHEN i <= len(found) THEN coalesce(how[found[i]], found[i]) ELSE '' END), '') AS text FROM g, c),
+a AS MATERIALIZED (SELECT doc_id, regexp_split_to_array(text, '{_AT}') AS rest, regexp_extract_all(text, '{_AT}') AS found FROM o)
+SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(rest) + 1), lambda i: rest[i] || CASE WHEN i > len(found) THEN '' WHEN contains(lower(found[i]), 'postgresql://') THEN left(found[i], instr(lower(found[i]), 'postgresql://') + 12) || '<redacted>@<host>'
+    WHEN contains(lower(found[i]), 'postgres://') THEN left(found[i], instr(lower(found[i]), 'postgres://') + 10) || '<redacted>@<host>' ELSE found[i] END), '')) AS digest FROM a""")
 def redact(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(X.redact_secrets(F.col("text")), 256).alias("digest"))
 
