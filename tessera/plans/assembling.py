@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tasks as T
 from ..operators import assembly as A
 from ..operators import code_graph as G
+from ..operators import selection as S
 from .bindings import part_files
 from .scalars import inventory
 from .selecting import windowed, work
@@ -28,13 +28,10 @@ def links(spark, sf_dir):
     return ahead.unionByName(ahead.select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("imported-by").alias("kind")))
 
 
-def requests(spark, sf_dir):
-    """(task_id, raw_task, review_only): the requests whose windows are assembled."""
-    return work(spark, sf_dir).select("task_id", "raw_task", T.intents(F.col("raw_task"))["review_only"].alias("review_only"))
-
-
 def assembly(spark, sf_dir):
-    return A.assemble(windowed(spark, sf_dir), requests(spark, sf_dir), links(spark, sf_dir))
+    asks, same = S.alike(work(spark, sf_dir))
+    tasks = S.profiles(asks)
+    return S.each(A.assemble(windowed(spark, sf_dir, tasks), tasks.select("task_id", "raw_task", "review_only"), links(spark, sf_dir)), same)
 
 
 QUERIES["ret_assembly"] = assembly
