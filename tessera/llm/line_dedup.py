@@ -28,6 +28,8 @@ _FACTORS = np.random.default_rng(5).integers(0, 1 << 31, max(g[3] for g in GRAMS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes whose grams are hashed at once.
 _BLOCK = 1 << 15
+#: Pairs that a task puts together at once: some 4 MB.
+PAIRS = 1 << 18
 #: Words of the filter that spots candidate lines: 2 MB, whatever the corpus.
 FILTER = 1 << 18
 #: ASCII white space, punctuation and control characters, but the newline, become spaces.
@@ -137,29 +139,77 @@ def bands_of(lines: DataFrame) -> DataFrame:
     return lines.select("nh", "line").mapInArrow(run, "key long, nh long")
 
 
-def stars(bands: DataFrame) -> DataFrame:
-    """(a, b): of the lines of each key the smallest, a, with each other one, b."""
+def shared_keys(bands: DataFrame) -> DataFrame:
+    """(key, nh) of the keys that different lines share, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("key").to_numpy(), b.column("nh").to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
         key, nh = (np.concatenate(x) for x in zip(*got))
+        got.clear()
         order = np.argsort(key)
         key, nh = key[order], nh[order]
         same = key[1:] == key[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
-        key, nh = key[shared], nh[shared]
+        often = np.r_[False, same] | np.r_[same, False]
+        key, nh = key[often], nh[often]
         order = np.lexsort((nh, key))
         key, nh = key[order], nh[order]
-        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
-        smallest = nh[np.flatnonzero(new)][np.cumsum(new) - 1]
-        ray = np.r_[False, nh[1:] != nh[:-1]][: len(key)] & (nh != smallest)
-        if ray.any():
-            pairs = np.unique(np.c_[smallest[ray], nh[ray]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T.copy()], names=["a", "b"])
+        once = np.r_[True, (key[1:] != key[:-1]) | (nh[1:] != nh[:-1])][: len(key)]
+        key, nh = key[once], nh[once]
+        same = key[1:] == key[:-1]
+        often = np.r_[False, same] | np.r_[same, False][: len(key)] if len(key) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(nh[often])], names=["key", "nh"])
+
+    return bands.repartition("key").mapInArrow(run, "key long, nh long")
+
+
+def stars(held: DataFrame) -> DataFrame:
+    """(a, b): of the lines of each key the smallest, a, with each other one, b."""
+    least = held.groupBy("key").agg(F.min("nh").alias("a"))
+    return held.join(least, "key").filter("nh <> a").select("a", F.col("nh").alias("b")).distinct()
+
+
+def crossing(members: DataFrame) -> DataFrame:
+    """(a, b): of ``members(key, nh, class, size)`` the lines of a key that are of different classes, and of sizes, in
+    characters, that allow the similarity.
+
+    Lines of a key's largest class meet only those outside it, so a key of near copies costs in proportion to its lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(c).to_numpy() for c in ("key", "class", "nh", "size")] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, kind, nh, size = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((size, key))
+        key, kind, nh, size = key[order], kind[order], nh[order], size[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out, n = [], 0
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            c, h, z = kind[lo:hi], nh[lo:hi], size[lo:hi]
+            classes, at, count = np.unique(c, return_inverse=True, return_counts=True)
+            if len(classes) < 2:
+                continue
+            main = at == count.argmax()
+            for i in np.flatnonzero(~main).tolist():
+                near = slice(np.searchsorted(z, z[i] * SIMILARITY - 1e-6), np.searchsorted(z, z[i] / SIMILARITY + 1e-6, "right"))
+                meet = np.arange(near.start, near.stop)
+                meet = meet[(c[near] != c[i]) & (main[near] | (meet > i))]
+                if len(meet):
+                    out.append(np.c_[np.minimum(h[i], h[meet]), np.maximum(h[i], h[meet])])
+                    n += len(meet)
+                if n >= PAIRS:
+                    yield _pairs(out)
+                    out, n = [], 0
+        if out:
+            yield _pairs(out)
+
+    return members.select("key", "class", "nh", "size").repartition("key").mapInArrow(run, "a long, b long").distinct()
+
 
-    return bands.repartition("key").mapInArrow(run, "a long, b long")
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], names=["a", "b"])
 
 
 def spotter(ends: DataFrame):
@@ -282,13 +332,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def line_classes(lines: DataFrame) -> DataFrame:
     """(nh, class) of the lines that have a partner: connected by pairs that share a key and are similar.
 
-    Of each key the smallest line is compared with the others, so that a key of any number of lines costs in
-    proportion to them. A pair that is in no such way connected by any of its keys is missed (see the README's recall).
+    Of each key the smallest line is compared with the others first. What that connects need not meet again; lines of a
+    key that are of different classes then are compared pair by pair, so that no similar pair that shares a key is left
+    out. A pair that shares no key is missed (see the README's recall).
     """
-    rays = materialize(stars(bands_of(lines)).distinct(), "lines-pairs")
-    ends = rays.select(F.col("a").alias("nh")).union(rays.select("b")).distinct()
-    texts = materialize(candidate_lines(lines, ends), "lines-text")
-    reach = connected_components(verified(rays, texts))
+    held = materialize(shared_keys(bands_of(lines)), "lines-keys")
+    texts = materialize(candidate_lines(lines, held.select("nh").distinct()), "lines-text")
+    rays = materialize(stars(held), "lines-pairs")
+    first = materialize(connected_components(verified(rays, texts)), "lines-first")
+    classes = held.join(first.withColumnRenamed("node", "nh"), "nh", "left").select("key", "nh", F.coalesce("component", "nh").alias("class"))
+    rest = crossing(classes.join(texts.select("nh", F.length("line").alias("size")), "nh"))
+    tried = rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"), texts)
+    reach = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return reach.select(F.col("node").alias("nh"), F.col("component").alias("class"))
 
 

@@ -218,3 +218,23 @@ def test_recall_against_all_pairs_of_a_table(spark, docs_of):
     print({k: (sum(v), len(v)) for k, v in sorted(by.items())})
     assert sum(map(sum, by.values())) >= 0.9 * len(pairs)
     assert all(sum(v) >= 0.85 * len(v) for v in by.values())
+
+
+def test_every_similar_pair_of_a_key_is_linked(spark, monkeypatch):
+    """All lines under one key: classes are those of all pairs, whichever line is the smallest."""
+    rng = random.Random(4)
+    bases = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(90)) for _ in range(8)) for _ in range(12)]
+    norms = sorted({b[:k] + "x" * n + b[k:] for b in bases for k, n in ((0, 0), (5, 4), (20, 9), (30, 14))})
+    rows = [(i, x) for i, x in enumerate(norms)]
+    lines = spark.createDataFrame(rows, "nh long, line string")
+    monkeypatch.setattr(L, "bands_of", lambda df: df.selectExpr("7L AS key", "nh").union(df.selectExpr("nh % 3", "nh")))
+    got = {r.nh: r["class"] for r in L.line_classes(lines).collect()}
+    root = list(range(len(norms)))
+    for j in range(len(norms)):
+        for i in range(j):
+            if root[i] != root[j] and L.similar_pairs([norms[i]], [norms[j]])[0]:
+                root = [root[i] if r == root[j] else r for r in root]
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, []).append(i)
+    assert {i: c for i, c in got.items()} == {i: min(w) for w in want.values() if len(w) > 1 for i in w}
