@@ -55,3 +55,25 @@ def test_roles_by_the_first_word_of_a_name(spark):
     }
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", P.role(F.col("p"), F.lit("source")).alias("r")).collect()
     assert {r.p: r.r for r in rows} == paths
+
+
+def test_parts_are_dealt_over_tasks_before_texts_are_made_of_them(spark, small):
+    from tessera.functions import facts
+    from tessera.functions.text import by_table
+    from tessera.plans import code
+
+    # one small file was one task, however many texts its rows make
+    sizes = [n for n in code.sources(spark, small).rdd.glom().map(len).collect() if n]
+    assert len(sizes) > 4 and max(sizes) < 2 * min(sizes) + 20
+    assert by_table("[^A-Za-z0-9_$.]x[A-Za-z_$]").startswith("[^abc") and "A-Z" not in "".join(map(by_table, facts.PATTERNS.values()))
+
+
+def test_specifiers_try_no_candidates_of_their_own(spark):
+    from tessera.operators.joins import resolve_imports
+
+    files = spark.createDataFrame([("p", x) for x in ("a", "a.ts", "a/index.ts", "b.ts/index.js", "b.ts.ts", "é.tsx", "/index.ts")], "project_id string, path string")
+    imports = spark.createDataFrame([("p", "z.ts", s) for s in ("./a", "./b.ts", "./é", "./c", "./", "x")], "project_id string, src string, specifier string")
+    found = resolve_imports(files, imports)
+    assert {(r.specifier, r.dst) for r in found.collect()} == {("./a", "a"), ("./b.ts", "b.ts.ts"), ("./é", "é.tsx"), ("./", "/index.ts")}
+    left = found._jdf.queryExecution().optimizedPlan().toString()
+    assert left.count("Generate explode") == 1 and "posexplode" not in left
