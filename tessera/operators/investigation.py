@@ -61,21 +61,24 @@ def trace(
     none = F.lit(None).cast("string")
     found = cut(start.select("task_id", "project_id", "file", F.lit(0).alias("hop"), "place", F.lit(0).alias("way"), none.alias("symbol"), none.alias("parent"), F.array("file").alias("trail")))
     for hop in range(1, hops + 1):
-        front = found.filter(F.col("hop") == hop - 1).select("task_id", "project_id", F.col("file").alias("parent"), F.col("place").alias("parent_place"), F.col("trail").alias("parent_trail"))
+        front = found.filter(F.col("hop") == hop - 1).select("task_id", "project_id", F.col("file").alias("parent"), F.col("place").alias("parent_place"))
         by_import = front.join(steps, ["project_id", "parent"]).withColumns({"symbol": none, "at": F.lit(0)})
         own = has.select("project_id", F.col("file").alias("parent"), "symbol")
         by_symbol = front.join(own, ["project_id", "parent"]).join(asked, ["task_id", "symbol"]).join(declared, ["project_id", "symbol"]).filter("file <> parent")
         # one place more was kept, since a file is no owner for itself
         by_symbol = _first(by_symbol, ["task_id", "parent", "symbol"], ["file"], owners).withColumn("way", F.lit(1))
-        columns = ["task_id", "project_id", "file", "way", "parent_place", "at", "parent", "symbol", "parent_trail"]
+        columns = ["task_id", "project_id", "file", "way", "parent_place", "at", "parent", "symbol"]
         new = by_import.select(columns).unionByName(by_symbol.select(columns))
         new = new.join(found.select("task_id", "project_id", "file"), ["task_id", "project_id", "file"], "left_anti")
-        best = new.groupBy("task_id", "project_id", "file").agg(F.min(F.struct("way", "parent_place", "at", "parent", "symbol", "parent_trail")).alias("b"))
+        best = new.groupBy("task_id", "project_id", "file").agg(F.min(F.struct("way", "parent_place", "at", "parent", "symbol")).alias("b"))
         full = found.groupBy("task_id").agg(F.max("place").alias("taken"))
         order = Window.partitionBy("task_id").orderBy("b.way", "b.parent_place", "b.at", "file")
         placed = best.join(full, "task_id").withColumn("place", F.col("taken") + F.row_number().over(order)).filter(F.col("place") <= most_files)
-        fresh = placed.select("task_id", "project_id", "file", F.lit(hop).alias("hop"), "place", "b.way", "b.symbol", "b.parent", F.concat("b.parent_trail", F.array("file")).alias("trail"))
-        found = cut(found.unionByName(fresh))
+        # trails follow the files that got a place, not all that competed
+        trails = found.filter(F.col("hop") == hop - 1).select("task_id", "project_id", F.col("file").alias("parent"), F.col("trail").alias("parent_trail"))
+        fresh = placed.select("task_id", "project_id", "file", "place", "b.way", "b.symbol", "b.parent").join(trails, ["task_id", "project_id", "parent"])
+        fresh = fresh.select("task_id", "project_id", "file", F.lit(hop).alias("hop"), "place", "way", "symbol", "parent", F.concat("parent_trail", F.array("file")).alias("trail"))
+        found = found.unionByName(cut(fresh))
     met = found.select("task_id", "project_id", "file").join(asked, "task_id").join(has, ["project_id", "file", "symbol"]).groupBy("task_id", "project_id", "file").agg(
         *[F.bool_or(k).alias(k) for k in ("declaration", "state", "reference")]
     )
