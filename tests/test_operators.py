@@ -201,3 +201,20 @@ def test_deliveries_and_histories_as_streams(spark, tmp_path):
     seen = []
     S.for_each_version(stream, str(tmp_path / "c2"), lambda batch, _: seen.append(batch.count()))
     assert sum(seen) == 4
+
+
+def test_top_documents_count_a_bounded_number_of_pairs_at_once(spark, monkeypatch):
+    from tessera.operators import retrieval as R
+
+    assert list(R._runs([3, 4, 9, 1, 1], 7)) == [(0, 2), (2, 3), (3, 5)] and list(R._runs([], 7)) == []
+    monkeypatch.setattr(R, "PAIRS", 5)
+    monkeypatch.setattr(R, "DOCUMENTS", 3)
+    queries = spark.createDataFrame([(k, "a b c" if k % 2 else "a d") for k in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join("abcd"[: 1 + k % 4]) if k else "zz") for k in range(40)], "doc_id long, text string")
+    of = lambda k: set("abcd"[: 1 + k % 4]) if k else {"zz"}
+    want = set()
+    for q in range(6):
+        own = {"a", "b", "c"} if q % 2 else {"a", "d"}
+        best = sorted((-len(own & of(k)), k) for k in range(40) if own & of(k))[:5]
+        want |= {(q, k, -n, rank + 1) for rank, (n, k) in enumerate(best)}
+    assert {tuple(r) for r in R.top_documents(queries, docs.coalesce(1)).collect()} == want
