@@ -28,8 +28,15 @@ _FACTORS = np.random.default_rng(5).integers(0, 1 << 31, max(g[3] for g in GRAMS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes whose grams are hashed at once.
 _BLOCK = 1 << 15
-#: Pairs that a task puts together at once: some 4 MB.
-PAIRS = 1 << 18
+#: Pairs that a task compares at once.
+PAIRS = 1 << 16
+#: Pairs of a key's lines that one task compares, about; keys with more are dealt over several.
+SPLIT = 1 << 18
+#: Pairs whose edit distances are found side by side, the characters of the longest such line, and the words of 64 bits
+#: that their tables take at most: some 32 MB with the halves they are put together from.
+BATCH, WIDE, TABLE = 2048, 2048, 1 << 20
+#: Fewer pairs than this are compared one by one.
+FEW = 256
 #: Words of the filter that spots candidate lines: 2 MB, whatever the corpus.
 FILTER = 1 << 18
 #: ASCII white space, punctuation and control characters, but the newline, become spaces.
@@ -170,46 +177,90 @@ def stars(held: DataFrame) -> DataFrame:
     return held.join(least, "key").filter("nh <> a").select("a", F.col("nh").alias("b")).distinct()
 
 
-def crossing(members: DataFrame) -> DataFrame:
-    """(a, b): of ``members(key, nh, class, size)`` the lines of a key that are of different classes, and of sizes, in
-    characters, that allow the similarity.
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, part) of sorted batches."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        key, part = held.column("key").to_numpy(), held.column("part").to_numpy()
+        ends = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+        for lo, hi in zip(ends, ends[1:]):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(ends[-1])
+    if held is not None and held.num_rows:
+        yield held
+
 
-    Lines of a key's largest class meet only those outside it, so a key of near copies costs in proportion to its lines.
+def crossing(members: DataFrame) -> DataFrame:
+    """(a, b): of ``members(key, class, nh, line, keys, main, pivot, blocks)`` the similar lines of a key that are of
+    different classes.
+
+    Lines of a key's largest class, ``main``, meet only those outside it, and its smallest line, ``pivot``, which has met
+    all, none. They are compared where the key's lines are, so no pair is shuffled, and under the smallest key of a pair
+    only: ``keys`` are a line's other keys of several classes. The lines of a key are dealt into
+    ``blocks``, and each two of these meet in a group of their own. A task holds the lines of one group and of some
+    ``PAIRS`` pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy() for c in ("key", "class", "nh", "size")] for b in batches if b.num_rows]
-        if not got:
-            return
-        key, kind, nh, size = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((size, key))
-        key, kind, nh, size = key[order], kind[order], nh[order], size[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        out, n = [], 0
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
-            c, h, z = kind[lo:hi], nh[lo:hi], size[lo:hi]
-            classes, at, count = np.unique(c, return_inverse=True, return_counts=True)
-            if len(classes) < 2:
-                continue
-            main = at == count.argmax()
-            for i in np.flatnonzero(~main).tolist():
+        pairs, n, texts = [], 0, {}
+        for rows in _keys(batches):
+            kind, nh = rows.column("class").to_numpy(), rows.column("nh").to_numpy()
+            line = rows.column("line").combine_chunks()
+            size = pc.utf8_length(line).to_numpy()
+            order = np.lexsort((nh, size))
+            c, h, z = kind[order], nh[order], size[order]
+            block = rows.column("block").to_numpy()[order]
+            within_one = (block == block[0]).all()
+            main, pivot = c == rows.column("main")[0].as_py(), h == rows.column("pivot")[0].as_py()
+            key, keys = rows.column("key")[0].as_py(), rows.column("keys").combine_chunks()
+            values, offsets = keys.values.to_numpy(), keys.offsets.to_numpy()
+            of = [values[offsets[k] : offsets[k + 1]] for k in order.tolist()]
+            of = [x[x < key] for x in of]
+            less = np.full((len(of), max(map(len, of))), key, np.int64)
+            for k, x in enumerate(of):
+                less[k, : len(x)] = x
+            own, met = dict(zip(h.tolist(), order.tolist())), []
+            for i in np.flatnonzero(~main & ~pivot).tolist():
                 near = slice(np.searchsorted(z, z[i] * SIMILARITY - 1e-6), np.searchsorted(z, z[i] / SIMILARITY + 1e-6, "right"))
                 meet = np.arange(near.start, near.stop)
-                meet = meet[(c[near] != c[i]) & (main[near] | (meet > i))]
+                meet = meet[(c[near] != c[i]) & ~pivot[near] & (main[near] | (meet > i)) & (within_one | (block[near] != block[i]))]
+                if len(meet) and len(of[i]):
+                    meet = meet[~np.isin(less[meet], of[i]).any(axis=1)]
                 if len(meet):
-                    out.append(np.c_[np.minimum(h[i], h[meet]), np.maximum(h[i], h[meet])])
+                    met.append(np.c_[np.minimum(h[i], h[meet]), np.maximum(h[i], h[meet])])
                     n += len(meet)
                 if n >= PAIRS:
-                    yield _pairs(out)
-                    out, n = [], 0
-        if out:
-            yield _pairs(out)
-
-    return members.select("key", "class", "nh", "size").repartition("key").mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], names=["a", "b"])
+                    _hold(texts, met, own, line)
+                    yield _links([*pairs, *met], texts)
+                    pairs, met, n, texts = [], [], 0, {}
+            if met:
+                _hold(texts, met, own, line)
+                pairs += met
+        if pairs:
+            yield _links(pairs, texts)
+
+    spark = members.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("nh"), "blocks"))
+    # a block alone is a group, too: of two blocks only lines of different ones are compared
+    with_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", with_).withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    split = dealt.repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
+    return split.select("key", "part", "block", "class", "nh", "line", "keys", "main", "pivot").mapInArrow(run, "a long, b long").distinct()
+
+
+def _hold(texts: dict, met: list[np.ndarray], own: dict, line: pa.Array) -> None:
+    for nh in np.unique(np.concatenate(met)).tolist():
+        if nh not in texts:
+            texts[nh] = line[own[nh]].as_py()
+
+
+def _links(pairs: list[np.ndarray], texts: dict) -> pa.RecordBatch:
+    """Those of ``pairs`` that are similar."""
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    same = similar_pairs([texts[k] for k in pairs[:, 0].tolist()], [texts[k] for k in pairs[:, 1].tolist()])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[np.array(same, bool)].T.copy()], names=["a", "b"])
 
 
 def spotter(ends: DataFrame):
@@ -304,12 +355,118 @@ def surely_apart(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
     return np.abs(count[0] - count[1]).sum(axis=1) > 6 * allowed
 
 
+def _rows(up: np.ndarray, down: np.ndarray, score: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a column's distances in the words from ``first`` to ``last``, for each pair; their rows)."""
+    p, q = (np.unpackbits(np.ascontiguousarray(x[first : last + 1].T).view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down))
+    steps = np.zeros((len(p), p.shape[1] + 1), np.int32)
+    np.cumsum(p - q, axis=1, out=steps[:, 1:])
+    steps += (score[last] - steps[:, -1])[:, None].astype(np.int32)
+    return steps, np.arange(64 * first, 64 * (last + 1) + 1)
+
+
+def within(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
+    """Which pairs have an edit distance of ``allowed`` or less: exact, many pairs at once.
+
+    The columns of the table are words of 64 rows, as in ``edit_distance``, side by side for all pairs. Only words that a
+    way of ``allowed`` edits can touch are worked on, and pairs with no such way left drop out every 64 columns.
+    """
+    out = np.zeros(len(a), bool)
+    m, n = (np.array([*map(len, x)], np.int64) for x in (a, b))
+    words = int(m.max() + 63) // 64
+    text = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)]
+    signs = np.zeros(0x110000, bool)
+    for x in text:
+        signs[x] = True
+    number = np.cumsum(signs, dtype=np.int32) - 1
+    size, col = len(a), int(number[-1]) + 2
+    code = number[np.concatenate(text)].astype(np.int64)
+    row = np.repeat(np.arange(size), m)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    at = (2 * (place // 64) + place // 32 % 2) * (size * col) + row * col + code[: len(row)]
+    halves = np.bincount(at, np.exp2(place % 32), 2 * words * size * col).astype(np.uint64).reshape(words, 2, size * col)
+    same = halves[:, 0] | halves[:, 1] << np.uint64(32)
+    bag = np.bincount(row * col + code[: len(row)], minlength=size * col)
+    across = np.full((int(n.max()), size), col - 1, np.int64)
+    row = np.repeat(np.arange(size), n)
+    bag -= np.bincount(row * col + code[len(code) - len(row) :], minlength=size * col)
+    bag = bag.reshape(size, col)  # an edit takes one character away or brings one, or both
+    may = np.flatnonzero(np.maximum(np.maximum(bag, 0).sum(axis=1), np.maximum(-bag, 0).sum(axis=1)) <= allowed)
+    across[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), row] = code[len(code) - len(row) :]
+    across += np.arange(size) * col
+
+    one, top = np.uint64(1), np.uint64(63)
+    who, up, down = may, np.full((words, len(may)), ~np.uint64(0)), np.zeros((words, len(may)), np.uint64)
+    score = np.repeat(np.arange(1, words + 1, dtype=np.int64)[:, None] * 64, len(may), axis=1)
+    most, opened = int(allowed.max()), 0
+    ends = set(n.tolist())
+    for j in range(len(across)):
+        first, last = max(0, j - most) // 64, min(words - 1, (j + most) // 64)
+        if last > opened:  # words below start from the row above them
+            for w in range(opened + 1, last + 1):
+                score[w] = score[w - 1] + 64
+            opened = last
+        eq = same[first : last + 1].take(across[j, who], axis=1)
+        plus, minus = np.ones(len(who), np.uint64), np.zeros(len(who), np.uint64)
+        for w in range(first, last + 1):
+            e, p, q = eq[w - first], up[w], down[w]
+            x = e | q
+            e |= minus
+            h = (((e & p) + p) ^ p) | e
+            rise, fall = q | ~(h | p), p & h
+            more, less = rise >> top, fall >> top
+            score[w] += more.view(np.int64)
+            score[w] -= less.view(np.int64)
+            rise = rise << one | plus
+            up[w] = fall << one | minus | ~(x | rise)
+            down[w] = rise & x
+            plus, minus = more, less
+        if (j + 1) in ends:
+            done = np.flatnonzero(n[who] == j + 1)
+            d, i = _rows(up[:, done], down[:, done], score[:, done], first, last)
+            end = m[who[done]]
+            held = np.flatnonzero((end >= i[0]) & (end <= i[-1]))
+            out[who[done[held]]] = d[held, end[held] - i[0]] <= allowed[who[done[held]]]
+        if j % 64 == 63:
+            d, i = _rows(up, down, score, first, last)
+            end = m[who][:, None]
+            d += np.abs(end - i - (n[who][:, None] - j - 1))
+            alive = (np.where(i <= end, d, 1 << 30).min(axis=1) <= allowed[who]) & (n[who] > j + 1)
+            if not alive.all():
+                who, up, down, score = who[alive], up[:, alive], down[:, alive], score[:, alive]
+                if not len(who):
+                    break
+    return out
+
+
 def similar_pairs(a: list[str], b: list[str]) -> list[bool]:
-    """Whether 1 - distance / length of the longer is ``SIMILARITY`` or more, for each pair: by bounds where they decide."""
-    longer, shorter = (np.array([f(len(x), len(y)) for x, y in zip(a, b)]) for f in (max, min))
+    """Whether 1 - distance / length of the longer is ``SIMILARITY`` or more, for each pair: side by side, or by bounds where
+    they decide and one by one where lines are long or few."""
+    longer, shorter = (np.array([f(len(x), len(y)) for x, y in zip(a, b)], np.int64) for f in (max, min))
     allowed = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-    apart = (longer - shorter > allowed) | surely_apart(a, b, allowed)
-    return [not no and (surely_similar(x, y, k) or edit_distance(x, y) <= k) for x, y, k, no in zip(a, b, allowed.tolist(), apart.tolist())]
+    out = np.zeros(len(a), bool)
+    todo = np.flatnonzero((longer - shorter <= allowed) & (shorter > 0))
+    todo = todo[np.argsort(longer[todo], kind="stable")]
+    at, single = 0, [todo[longer[todo] > WIDE]]
+    while at < len(todo) and longer[todo[at]] <= WIDE:
+        end = at + BATCH
+        end = min(end, int(np.searchsorted(longer[todo], min(WIDE, longer[todo[at]] * 5 // 4 + 32), "right")))
+        while end - at > 1:
+            signs = len(set().union(*(a[k] for k in todo[at:end].tolist()), *(b[k] for k in todo[at:end].tolist())))
+            if (end - at) * signs * ((longer[todo[end - 1]] + 63) // 64) <= TABLE:
+                break
+            end = at + (end - at) // 2
+        some, at = todo[at:end], end
+        if len(some) < FEW:
+            single.append(some)
+            continue
+        out[some] = within([max(a[k], b[k], key=len) for k in some.tolist()], [min(a[k], b[k], key=len) if len(a[k]) != len(b[k]) else b[k] for k in some.tolist()], allowed[some])
+    single = np.concatenate(single)
+    for at in range(0, len(single), FEW):
+        some = single[at : at + FEW]
+        x, y, k = [a[i] for i in some], [b[i] for i in some], allowed[some]
+        apart = surely_apart(x, y, k)
+        out[some] = [not no and (surely_similar(u, v, c) or edit_distance(u, v) <= c) for u, v, c, no in zip(x, y, k.tolist(), apart.tolist())]
+    return out.tolist()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -321,8 +478,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 8 * BATCH):
+                part = batch.slice(at, 8 * BATCH)
                 same = similar_pairs(part.column("la").to_pylist(), part.column("lb").to_pylist())
                 yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
@@ -341,9 +498,13 @@ def line_classes(lines: DataFrame) -> DataFrame:
     rays = materialize(stars(held), "lines-pairs")
     first = materialize(connected_components(verified(rays, texts)), "lines-first")
     classes = held.join(first.withColumnRenamed("node", "nh"), "nh", "left").select("key", "nh", F.coalesce("component", "nh").alias("class"))
-    rest = crossing(classes.join(texts.select("nh", F.length("line").alias("size")), "nh"))
-    tried = rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(rest.join(tried, ["a", "b"], "left_anti"), texts)
+    mixed = classes.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("nh").alias("nh"))
+    mixed = mixed.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"), F.min("nh").alias("pivot")).filter("n > most.n")
+    blocks = F.ceil(F.sqrt(F.col("n") * (F.col("n") - F.col("most.n")) / SPLIT)).cast("long").alias("blocks")
+    spots = classes.join(mixed.select("key", F.col("most.class").alias("main"), "pivot", blocks), "key")
+    spots = spots.groupBy("nh", "class").agg(F.collect_list(F.struct("key", "main", "pivot", "blocks")).alias("own"))
+    members = spots.join(texts, "nh").select("nh", "class", "line", F.col("own.key").alias("keys"), F.inline("own"))
+    more = crossing(members)
     reach = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return reach.select(F.col("node").alias("nh"), F.col("component").alias("class"))
 

@@ -238,3 +238,37 @@ def test_every_similar_pair_of_a_key_is_linked(spark, monkeypatch):
     for i, r in enumerate(root):
         want.setdefault(r, []).append(i)
     assert {i: c for i, c in got.items()} == {i: min(w) for w in want.values() if len(w) > 1 for i in w}
+
+
+def test_distances_side_by_side_agree_with_the_distance():
+    """Pairs of all lengths, signs and distances, many at once."""
+    rng = random.Random(11)
+    a, b = [], []
+    for k in range(700):
+        one = "".join(rng.choice("abcdé漢😀 ") for _ in range(rng.choice([9, 63, 64, 65, 128, 130, 200])))
+        two = list(one)
+        for _ in range(rng.randrange(0, max(2, len(one) // 3))):
+            p = rng.randrange(len(two))
+            two[p : p + rng.randrange(0, 2)] = [rng.choice("abcdé漢x")] * rng.randrange(0, 2) or ["y"]
+        a.append(one), b.append("".join(two) if k % 9 else one[40:] + "".join(two)[:40] + "z")
+    want = [distance(x, y) for x, y in zip(a, b)]
+    for share in (0.1, 0.2, 0.4):
+        allowed = np.array([int(max(len(x), len(y)) * share) for x, y in zip(a, b)])
+        long, short = [max(x, y, key=len) for x, y in zip(a, b)], [min(y, x, key=len) for x, y in zip(a, b)]
+        assert L.within(long, short, allowed).tolist() == [d <= k for d, k in zip(want, allowed.tolist())]
+    assert L.similar_pairs(a, b) == [d <= int(max(len(x), len(y)) * 0.2 + 1e-9) for d, x, y in zip(want, a, b)]
+
+
+def test_only_similar_lines_of_a_key_leave_its_task(spark, monkeypatch):
+    """Lines that share a passage, and with it a key, are compared in place, also where a key is dealt over tasks."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    passage = " ".join(word() for _ in range(8))
+    norms = [" ".join([*(word() for _ in range(9)), passage]) for _ in range(60)]
+    norms += [norms[7] + " x", norms[31] + " yy"]
+    want = [(7, 60), (31, 61)]
+    monkeypatch.setattr(L, "PAIRS", 50)
+    for blocks, pivot in ((1, 0), (3, 0), (3, 50)):
+        rows = [(k, 10 if i < 20 and i != 7 else i, i, n, [9, 7], 10, pivot, blocks) for i, n in enumerate(norms) for k in (7, 9)]
+        members = spark.createDataFrame(rows, "key long, class long, nh long, line string, keys array<long>, main long, pivot long, blocks long")
+        assert sorted(tuple(r) for r in L.crossing(members).collect()) == want
