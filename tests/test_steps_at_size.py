@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import catalog as C
 from tessera.operators import graph as G
 from tessera.operators import joins as J
+from tessera.operators import retrieval as R
 from tessera.plans import bindings, registry
 
 
@@ -65,3 +66,24 @@ def test_defaults_are_looked_up_once_for_each_tool_and_type(spark):
     out = C.default_by_key(spark.createDataFrame(many, "request_id int, tool string, type string"), templates)
     got = [tuple(r) for r in out.collect()]
     assert sorted(g for g in got if g[0] is not None and g[0] < 10) == expected and (None, None, None) in got and len(got) == len(many)
+
+
+def test_scored_candidates_shuffle_few_rows_and_add_up_repeats(spark):
+    """Every document shares words with every query; rows of one id count together."""
+    docs = [(i, f"{'alpha' if i % 3 == 0 else 'other'} head\nalpha beta gamma {'delta' if i % 5 == 0 else 'eps'}") for i in range(40)] + [(7, "beta alpha"), (None, "gamma"), (41, None)]
+    asked = [(1, "alpha beta delta"), (2, "gamma"), (2, "gamma eps"), (3, "zzz"), (None, "delta")]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    q = spark.createDataFrame(asked, "item_id int, text string")
+    tally = {}
+    for qi, qt in asked:
+        for di, dt in docs:
+            tokens, head = set((dt or "").split()), set((dt or "").split("\n")[0].split())
+            for w in set(qt.split()) & tokens:
+                n, h = tally.get((qi, di), (0, 0))
+                tally[qi, di] = (n + 1, h + (w in head))
+    want = set()
+    for qi in {k[0] for k in tally}:
+        own = sorted(((-(18 * n + 18 * h + 34 * (h > 0)), di is not None, di or 0, di, n, h) for (q_, di), (n, h) in tally.items() if q_ == qi))
+        want |= {(qi, x[3], x[4], x[5], -x[0], r + 1) for r, x in enumerate(own[:18]) if -x[0] >= max(32, 0.62 * -own[0][0])}
+    out = R.scored_candidates(q, d)
+    assert {(r.item_id, r.doc_id, r.overlap, r.head_hits, r.score, r["rank"]) for r in out.collect()} == want
