@@ -288,17 +288,12 @@ class Splitter:
             yield part
 
 
-#: What a worker process keeps between tasks, by the name that travels with the broadcast.
-_kept: dict[str, object] = {}
-
-
 def _worker(shared, make):
-    """``make(*parts)`` of a broadcast (name, parts), made once in a worker process and kept until another is asked for."""
-    name, parts = shared.value
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = make(*parts)
-    return _kept[name]
+    """``make(*parts)`` of a broadcast (name, parts), made once in a worker process. It hangs on the broadcast, so that both
+    go when the worker gets a task without it: what one stage needed takes no memory from the next."""
+    if not hasattr(shared, "_made"):
+        shared._made = make(*shared.value[1])
+    return shared._made
 
 
 class Codec:

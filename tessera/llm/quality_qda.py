@@ -154,9 +154,20 @@ def score(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
     return apply(stats, model)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject (score 0.7 or more), columns as they are."""
-    model = train(docs, labels)
-    names = docs.columns
-    stats = features(docs.withColumn("__row", F.struct(*[F.col(c) for c in names])), "__row")
-    return apply(stats, model).filter("predicted = 1").select(*[F.col("__row")[c].alias(c) for c in names])
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject (score ``threshold`` or more), columns as they are.
+
+    Statistics and score are found in one step, so that a task has one Python worker and a text goes to it once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # a few hundred numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            if own is None or not batch.num_rows:
+                yield batch
+                continue
+            x = np.array([statistics(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())])
+            yield batch.filter(pa.array(own.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -136,3 +136,30 @@ def test_a_worker_keeps_its_tables_between_tasks(spark):
 
     rows = spark.range(32).repartition(32).mapInArrow(run, "pid long, n long").collect()
     assert max(r.n for r in rows) > 1 and len({r.pid for r in rows}) < 32
+
+
+def test_a_worker_drops_its_tables_with_the_broadcast(spark):
+    """A task of another stage runs in a worker that no longer holds what the encoder needed."""
+    import pyarrow as pa
+
+    from tessera.llm import bpe as own
+
+    shared = spark.sparkContext.broadcast(("dropped", ([f"dropped {k}" for k in range(3)],)))
+
+    def use(batches):
+        kept = own._worker(shared, lambda rows: {"these tables": rows})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(kept)] * b.num_rows, pa.int64())], names=["n"])
+
+    def look(batches):
+        import gc
+
+        gc.collect()
+        n = sum(type(o) is dict and "these tables" in o for o in gc.get_objects())
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    rows = spark.range(64).repartition(32)
+    assert rows.mapInArrow(use, "n long").agg({"n": "max"}).first()[0] == 1
+    rows.mapInArrow(look, "n long").count()
+    assert rows.mapInArrow(look, "n long").agg({"n": "max"}).first()[0] == 0

@@ -152,3 +152,12 @@ def test_failed_lines_are_removed(spark):
     text = "A good line here.\n\nHome | Shop | Cart | Help\nAll rights reserved\nAnother good line, short"
     got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(quality_rules.clean_text(F.col("t")).alias("c")).collect()
     assert [r.c for r in got] == ["A good line here.\nAnother good line, short", "", None]
+
+
+def test_documents_are_judged_in_one_python_step(spark, small):
+    """A task of the pipeline's stage has one Python worker, which reads and judges whole rows."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality_qda.keep_good(docs, labels)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    scores = quality_qda.apply(quality_qda.features(docs), quality_qda.train(docs, labels)).filter("predicted = 1")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in scores.collect()) and kept.schema == docs.schema
