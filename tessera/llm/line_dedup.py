@@ -29,14 +29,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes whose grams are hashed at once.
 _BLOCK = 1 << 15
 #: Pairs that a task compares at once.
-PAIRS = 1 << 16
+PAIRS = 1 << 15
 #: Pairs of a key's lines that one task compares, about; keys with more are dealt over several.
 SPLIT = 1 << 18
 #: Pairs whose edit distances are found side by side, the characters of the longest such line, and the words of 64 bits
-#: that their tables take at most: some 32 MB with the halves they are put together from.
-BATCH, WIDE, TABLE = 2048, 2048, 1 << 20
-#: Fewer pairs than this are compared one by one.
-FEW = 256
+#: that their tables take at most: some 16 MB with the halves they are put together from.
+BATCH, WIDE, TABLE = 2048, 2048, 1 << 19
+#: Fewer pairs than this, and one for each so many characters of the longest, are compared one by one.
+FEW, FEW_CHARS = 24, 10
+#: How much longer the longest line of such a batch may be than the shortest: few batches take less time than narrow ones.
+SPREAD = 2.5
 #: Words of the filter that spots candidate lines: 2 MB, whatever the corpus.
 FILTER = 1 << 18
 #: ASCII white space, punctuation and control characters, but the newline, become spaces.
@@ -147,7 +149,7 @@ def bands_of(lines: DataFrame) -> DataFrame:
 
 
 def shared_keys(bands: DataFrame) -> DataFrame:
-    """(key, nh) of the keys that different lines share, each once."""
+    """(key, nh, least) of the keys that different lines share, each once; least: the smallest line of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("key").to_numpy(), b.column("nh").to_numpy()) for b in batches if b.num_rows]
@@ -166,27 +168,67 @@ def shared_keys(bands: DataFrame) -> DataFrame:
         key, nh = key[once], nh[once]
         same = key[1:] == key[:-1]
         often = np.r_[False, same] | np.r_[same, False][: len(key)] if len(key) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(nh[often])], names=["key", "nh"])
+        key, nh = key[often], nh[often]
+        starts, of = _runs(key)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, nh, nh[starts][of])], names=["key", "nh", "least"])
+
+    return bands.repartition("key").mapInArrow(run, "key long, nh long, least long")
 
-    return bands.repartition("key").mapInArrow(run, "key long, nh long")
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where runs of equal rows begin, the run of each row)."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def stars(held: DataFrame) -> DataFrame:
     """(a, b): of the lines of each key the smallest, a, with each other one, b."""
-    least = held.groupBy("key").agg(F.min("nh").alias("a"))
-    return held.join(least, "key").filter("nh <> a").select("a", F.col("nh").alias("b")).distinct()
+    return held.filter("nh <> least").select(F.col("least").alias("a"), F.col("nh").alias("b")).distinct()
+
+
+def mixed_keys(classes: DataFrame) -> DataFrame:
+    """(key, nh, class, main, pivot, blocks) of ``classes(key, nh, class)``, a row for each line of the keys with lines
+    to compare.
+
+    main: the key's largest class; pivot: its smallest line, which has met all others. Without it lines of two classes
+    must be left. blocks: into how many the key's lines are dealt.
+    """
+    columns = ["key", "nh", "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(c).to_numpy() for c in columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, nh, kind = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((kind, key))
+        key, nh, kind = key[order], nh[order], kind[order]
+        starts, of = _runs(key)
+        firsts, own = _runs(key, kind)
+        n, size = np.diff(np.r_[starts, len(key)]), np.diff(np.r_[firsts, len(key)])
+        kinds, pivot = np.bincount(of[firsts], minlength=len(starts)), np.minimum.reduceat(nh, starts)
+        beside = size[own][nh == pivot[of]]  # lines of the pivot's class
+        ranked = np.lexsort((kind[firsts], size, of[firsts]))
+        most = ranked[np.cumsum(kinds) - 1]
+        main, rest = kind[firsts][most], n - size[most]
+        blocks = np.ceil(np.sqrt(n * rest / SPLIT)).astype(np.int64)
+        some = ((kinds > 2) | (kinds == 2) & (beside > 1))[of]
+        out = (key, nh, kind, main[of], pivot[of], blocks[of])
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in out], names=[*columns, "main", "pivot", "blocks"])
+
+    return classes.select(*columns).repartition("key").mapInArrow(run, "key long, nh long, class long, main long, pivot long, blocks long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (key, part) of sorted batches."""
+    """The rows of sorted batches, those of a (key, part) together."""
     held = None
     for batch in batches:
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        key, part = held.column("key").to_numpy(), held.column("part").to_numpy()
-        ends = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
-        for lo, hi in zip(ends, ends[1:]):
-            yield held.slice(lo, hi - lo)
-        held = held.slice(ends[-1])
+        last = int(_runs(held.column("key").to_numpy(), held.column("part").to_numpy())[0][-1]) if held.num_rows else 0
+        if last:
+            yield held.slice(0, last)
+            held = held.slice(last)
     if held is not None and held.num_rows:
         yield held
 
@@ -205,40 +247,19 @@ def crossing(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, texts = [], 0, {}
         for rows in _keys(batches):
-            kind, nh = rows.column("class").to_numpy(), rows.column("nh").to_numpy()
             line = rows.column("line").combine_chunks()
-            size = pc.utf8_length(line).to_numpy()
-            order = np.lexsort((nh, size))
-            c, h, z = kind[order], nh[order], size[order]
-            block = rows.column("block").to_numpy()[order]
-            within_one = (block == block[0]).all()
-            main, pivot = c == rows.column("main")[0].as_py(), h == rows.column("pivot")[0].as_py()
-            key, keys = rows.column("key")[0].as_py(), rows.column("keys").combine_chunks()
-            values, offsets = keys.values.to_numpy(), keys.offsets.to_numpy()
-            of = [values[offsets[k] : offsets[k + 1]] for k in order.tolist()]
-            of = [x[x < key] for x in of]
-            less = np.full((len(of), max(map(len, of))), key, np.int64)
-            for k, x in enumerate(of):
-                less[k, : len(x)] = x
-            own, met = dict(zip(h.tolist(), order.tolist())), []
-            for i in np.flatnonzero(~main & ~pivot).tolist():
-                near = slice(np.searchsorted(z, z[i] * SIMILARITY - 1e-6), np.searchsorted(z, z[i] / SIMILARITY + 1e-6, "right"))
-                meet = np.arange(near.start, near.stop)
-                meet = meet[(c[near] != c[i]) & ~pivot[near] & (main[near] | (meet > i)) & (within_one | (block[near] != block[i]))]
-                if len(meet) and len(of[i]):
-                    meet = meet[~np.isin(less[meet], of[i]).any(axis=1)]
-                if len(meet):
-                    met.append(np.c_[np.minimum(h[i], h[meet]), np.maximum(h[i], h[meet])])
-                    n += len(meet)
+            nh = rows.column("nh").to_numpy()
+            for a, b in _meetings(rows, pc.utf8_length(line).to_numpy()):
+                pairs.append(np.c_[np.minimum(nh[a], nh[b]), np.maximum(nh[a], nh[b])])
+                n += len(a)
+                at = np.unique(np.r_[a, b])
+                texts.update(zip(nh[at].tolist(), line.take(pa.array(at)).to_pylist()))
                 if n >= PAIRS:
-                    _hold(texts, met, own, line)
-                    yield _links([*pairs, *met], texts)
-                    pairs, met, n, texts = [], [], 0, {}
-            if met:
-                _hold(texts, met, own, line)
-                pairs += met
+                    yield _links(pairs, texts)
+                    pairs, n, texts = [], 0, {}
         if pairs:
             yield _links(pairs, texts)
+        pa.default_memory_pool().release_unused()
 
     spark = members.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
@@ -250,10 +271,71 @@ def crossing(members: DataFrame) -> DataFrame:
     return split.select("key", "part", "block", "class", "nh", "line", "keys", "main", "pivot").mapInArrow(run, "a long, b long").distinct()
 
 
-def _hold(texts: dict, met: list[np.ndarray], own: dict, line: pa.Array) -> None:
-    for nh in np.unique(np.concatenate(met)).tolist():
-        if nh not in texts:
-            texts[nh] = line[own[nh]].as_py()
+def _meetings(rows: pa.Table, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows to compare (see ``crossing``), about ``PAIRS`` at once at most; size: characters of each line."""
+    key, kind, nh, block, main, pivot = (rows.column(c).to_numpy() for c in ("key", "class", "nh", "block", "main", "pivot"))
+    of = _runs(key, rows.column("part").to_numpy())[1]
+    order = np.lexsort((nh, size, of))
+    key, kind, nh, block, size = key[order], kind[order], nh[order], block[order], size[order].astype(np.int64)
+    main, pivot = kind == main[order], nh == pivot[order]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # rows of a group were together before, too
+    split = (np.minimum.reduceat(block, first) != np.maximum.reduceat(block, first))[of]
+    spot = of << 32 | size
+    i = np.flatnonzero(~main & ~pivot)
+    lo = np.searchsorted(spot, of[i] << 32 | np.ceil(size[i] * SIMILARITY - 1e-6).astype(np.int64))
+    hi = np.searchsorted(spot, of[i] << 32 | np.floor(size[i] / SIMILARITY + 1e-6).astype(np.int64), "right")
+    ends = np.cumsum(hi - lo)
+    shared = _SharedKeys(rows.column("keys").combine_chunks(), order, key)
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        span = (hi - lo)[at:to]
+        a = np.repeat(i[at:to], span)
+        b = np.arange(len(a)) + np.repeat(lo[at:to] - np.cumsum(span) + span, span)
+        meet = (kind[a] != kind[b]) & ~pivot[b] & (main[b] | (b > a)) & (~split[a] | (block[a] != block[b]))
+        a, b = a[meet], b[meet]
+        if len(a):
+            alone = ~shared(a, b)
+            a, b = a[alone], b[alone]
+        if len(a):
+            yield order[a], order[b]
+        at = to
+
+
+class _SharedKeys:
+    """Which pairs of rows share a key that is smaller than their own, and so meet elsewhere."""
+
+    def __init__(self, keys: pa.ListArray, order: np.ndarray, key: np.ndarray):
+        offsets = keys.offsets.to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row = np.repeat(place, np.diff(offsets))
+        values = keys.values.to_numpy()[offsets[0] : offsets[-1]]
+        less = values < key[row]
+        self.names, name = np.unique(values[less], return_inverse=True)
+        self.codes = np.sort(row[less] * len(self.names) + name)
+        row = self.codes // max(1, len(self.names))
+        self.count = np.bincount(row, minlength=len(order))
+        self.start = np.cumsum(self.count) - self.count
+        # a bit for each of 64 kinds of keys: rows without a common bit share none
+        self.bits = np.zeros(len(order), np.uint64)
+        np.bitwise_or.at(self.bits, row, np.uint64(1) << (self.codes % max(1, len(self.names)) % 64).astype(np.uint64))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        may = np.flatnonzero(self.bits[a] & self.bits[b])
+        for at in range(0, len(may), PAIRS // 4 + 1):
+            some = may[at : at + PAIRS // 4 + 1]
+            x, y = a[some], b[some]
+            few = self.count[x] <= self.count[y]
+            x, y = np.where(few, x, y), np.where(few, y, x)
+            count = self.count[x]
+            begins = np.cumsum(count) - count
+            code = self.codes[np.arange(count.sum()) + np.repeat(self.start[x] - begins, count)]
+            code += np.repeat((y - x) * len(self.names), count)
+            found = self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
+            out[some] = np.logical_or.reduceat(found, begins)
+        return out
 
 
 def _links(pairs: list[np.ndarray], texts: dict) -> pa.RecordBatch:
@@ -293,8 +375,9 @@ def candidate_lines(lines: DataFrame, ends: DataFrame) -> DataFrame:
     return found.join(ends, "nh", "left_semi").groupBy("nh").agg(F.min("line").alias("line"))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel: one column of the table is one wide integer."""
+def edit_distance(a: str, b: str, most: float = math.inf) -> int:
+    """Levenshtein distance, bit-parallel: one column of the table is one wide integer. Beyond ``most`` a number that is
+    larger than that: a character of ``b`` brings the last row down by one at most."""
     start = len(os.path.commonprefix([a, b]))
     a, b = a[start:], b[start:]
     end = len(os.path.commonprefix([a[::-1], b[::-1]]))
@@ -307,12 +390,14 @@ def edit_distance(a: str, b: str) -> int:
     where = {chr(c): int.from_bytes(np.packbits(chars == c, bitorder="little").tobytes(), "little") for c in np.unique(chars).tolist()}
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = every, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         same = where.get(c, 0)
         diagonal = same | down
         across = (((same & up) + up) ^ up) | same
         more, less = down | (every & ~(across | up)), up & across
         distance += 1 if more & top else -1 if less & top else 0
+        if distance - left > most:
+            return distance - left
         more, less = (more << 1 | 1) & every, less << 1 & every
         up, down = less | (every & ~(diagonal | more)), more & diagonal
     return distance
@@ -446,26 +531,28 @@ def similar_pairs(a: list[str], b: list[str]) -> list[bool]:
     out = np.zeros(len(a), bool)
     todo = np.flatnonzero((longer - shorter <= allowed) & (shorter > 0))
     todo = todo[np.argsort(longer[todo], kind="stable")]
+    near = [np.zeros(0, np.int64)]
+    for at in range(0, len(todo), 256):
+        some = todo[at : at + 256]
+        near.append(some[~surely_apart([a[k] for k in some], [b[k] for k in some], allowed[some])])
+    todo = np.concatenate(near)
     at, single = 0, [todo[longer[todo] > WIDE]]
     while at < len(todo) and longer[todo[at]] <= WIDE:
         end = at + BATCH
-        end = min(end, int(np.searchsorted(longer[todo], min(WIDE, longer[todo[at]] * 5 // 4 + 32), "right")))
+        end = min(end, int(np.searchsorted(longer[todo], min(WIDE, longer[todo[at]] * SPREAD), "right")))
         while end - at > 1:
             signs = len(set().union(*(a[k] for k in todo[at:end].tolist()), *(b[k] for k in todo[at:end].tolist())))
             if (end - at) * signs * ((longer[todo[end - 1]] + 63) // 64) <= TABLE:
                 break
             end = at + (end - at) // 2
         some, at = todo[at:end], end
-        if len(some) < FEW:
+        if len(some) < FEW + longer[some[-1]] // FEW_CHARS:
             single.append(some)
             continue
         out[some] = within([max(a[k], b[k], key=len) for k in some.tolist()], [min(a[k], b[k], key=len) if len(a[k]) != len(b[k]) else b[k] for k in some.tolist()], allowed[some])
     single = np.concatenate(single)
-    for at in range(0, len(single), FEW):
-        some = single[at : at + FEW]
-        x, y, k = [a[i] for i in some], [b[i] for i in some], allowed[some]
-        apart = surely_apart(x, y, k)
-        out[some] = [not no and (surely_similar(u, v, c) or edit_distance(u, v) <= c) for u, v, c, no in zip(x, y, k.tolist(), apart.tolist())]
+    for k, most in zip(single.tolist(), allowed[single].tolist()):
+        out[k] = surely_similar(a[k], b[k], most) or edit_distance(a[k], b[k], most) <= most
     return out.tolist()
 
 
@@ -498,11 +585,7 @@ def line_classes(lines: DataFrame) -> DataFrame:
     rays = materialize(stars(held), "lines-pairs")
     first = materialize(connected_components(verified(rays, texts)), "lines-first")
     classes = held.join(first.withColumnRenamed("node", "nh"), "nh", "left").select("key", "nh", F.coalesce("component", "nh").alias("class"))
-    mixed = classes.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("nh").alias("nh"))
-    mixed = mixed.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"), F.min("nh").alias("pivot")).filter("n > most.n")
-    blocks = F.ceil(F.sqrt(F.col("n") * (F.col("n") - F.col("most.n")) / SPLIT)).cast("long").alias("blocks")
-    spots = classes.join(mixed.select("key", F.col("most.class").alias("main"), "pivot", blocks), "key")
-    spots = spots.groupBy("nh", "class").agg(F.collect_list(F.struct("key", "main", "pivot", "blocks")).alias("own"))
+    spots = mixed_keys(classes).groupBy("nh").agg(F.min("class").alias("class"), F.collect_list(F.struct("key", "main", "pivot", "blocks")).alias("own"))
     members = spots.join(texts, "nh").select("nh", "class", "line", F.col("own.key").alias("keys"), F.inline("own"))
     more = crossing(members)
     reach = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

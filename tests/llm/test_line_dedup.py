@@ -272,3 +272,46 @@ def test_only_similar_lines_of_a_key_leave_its_task(spark, monkeypatch):
         rows = [(k, 10 if i < 20 and i != 7 else i, i, n, [9, 7], 10, pivot, blocks) for i, n in enumerate(norms) for k in (7, 9)]
         members = spark.createDataFrame(rows, "key long, class long, nh long, line string, keys array<long>, main long, pivot long, blocks long")
         assert sorted(tuple(r) for r in L.crossing(members).collect()) == want
+
+
+def test_keys_without_lines_to_compare_are_left_out(spark):
+    """Lines that only the smallest line of their key could meet have met it; lines of two other classes meet."""
+    keys = {1: "AB", 2: "AA", 3: "ABB", 4: "AAB", 5: "ABC", 6: "ABBCC"}
+    classes = spark.createDataFrame([(k, 100 * k + i, ord(c)) for k, own in keys.items() for i, c in enumerate(own)], "key long, nh long, class long")
+    got = {(r.key, r.main, r.pivot, r.blocks) for r in L.mixed_keys(classes).collect()}
+    assert got == {(4, ord("A"), 400, 1), (5, ord("C"), 500, 1), (6, ord("C"), 600, 1)}
+    assert L.mixed_keys(classes).count() == 11 and L.mixed_keys(classes.limit(0)).count() == 0
+
+
+def test_pairs_of_many_keys_meet_once(monkeypatch):
+    """Of all keys at once: each pair of different classes once, without the smallest line, within the lengths, and under
+    its smallest key only."""
+    rng = random.Random(3)
+    size = {i: rng.randrange(20, 60) for i in range(40)}
+    kind = {i: rng.choice([90, 91, i]) for i in range(40)}
+    held = {k: sorted(rng.sample(range(40), rng.randrange(2, 14))) for k in range(12)}
+    main = {k: max({kind[i] for i in own}, key=lambda c, own=own: (sum(kind[i] == c for i in own), c)) for k, own in held.items()}
+    pivot = {k: own[0] for k, own in held.items()}
+    rows = [(k, 0, kind[i], i, 0, main[k], pivot[k], [x for x in held if i in held[x]]) for k, own in held.items() for i in own]
+    table = L.pa.table(dict(zip(("key", "part", "class", "nh", "block", "main", "pivot", "keys"), map(list, zip(*rows)))))
+    want = []
+    for k, own in held.items():
+        for i in own[1:]:
+            for j in own[1:]:
+                first = min(x for x in held if i in held[x] and j in held[x])
+                if i < j and kind[i] != kind[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and first == k:
+                    want.append((i, j))
+    for n in (1 << 15, 7):
+        monkeypatch.setattr(L, "PAIRS", n)
+        met = [(a, b) for x in L._meetings(table, np.array([size[r[3]] for r in rows])) for a, b in zip(*x)]
+        got = sorted(tuple(sorted((rows[a][3], rows[b][3]))) for a, b in met)
+        assert got == sorted(want) and len(want) > 20
+
+
+def test_a_distance_beyond_the_bound_ends_early():
+    rng = random.Random(21)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(0, 40))) for _ in "12")
+        for most in (0, 3, 9, 20):
+            got, want = L.edit_distance(a, b, most), distance(a, b)
+            assert got == want if want <= most else most < got <= want
