@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``frames``, which nothing may read any more, and let go of the shuffles behind them."""
+    for df in frames:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {jvm.org.apache.hadoop.fs.Path(x).getParent().toString() for x in df.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(conf).delete(place, True)
+    gc.collect()  # the driver's garbage holds shuffles on the executors' disks
+    for df in frames[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
     """The inner join of ``rows`` with ``side`` on ``key``, with a row for each key and, in ``weight``, its rows.
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, text_of
+from .common import discard, join_hot, materialize, text_of
 from .components import connected_components
 
 SIMILARITY = 0.8
@@ -28,6 +28,8 @@ _FACTORS = np.random.default_rng(5).integers(0, 1 << 31, max(g[3] for g in GRAMS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes whose grams are hashed at once.
 _BLOCK = 1 << 15
+#: Keys that a task deals out at once, and the parts that they fall to, for each partition of a shuffle.
+HELD, PARTS = 1 << 20, 8
 #: Pairs that a task compares at once.
 PAIRS = 1 << 15
 #: Pairs of a key's lines that one task compares, about; keys with more are dealt over several.
@@ -38,7 +40,10 @@ BATCH, WIDE, TABLE = 2048, 2048, 1 << 19
 #: Fewer pairs than this, and one for each so many characters of the longest, are compared one by one.
 FEW, FEW_CHARS = 24, 10
 #: How much longer the longest line of such a batch may be than the shortest: few batches take less time than narrow ones.
-SPREAD = 2.5
+SPREAD = 1.4
+#: Characters of a line from which on counts of its trigrams hardly rule out a pair, and from which on likely pairs are aligned
+#: by words first.
+COUNTED, ALIGNED = 200, 400
 #: Words of the filter that spots candidate lines: 2 MB, whatever the corpus.
 FILTER = 1 << 18
 #: ASCII white space, punctuation and control characters, but the newline, become spaces.
@@ -47,7 +52,10 @@ _PLAIN = bytes(c if c >= 128 or c == 10 or chr(c).isalnum() else 32 for c in ran
 
 def normal_lines(text: str) -> list[bytes]:
     """The normalised lines: in lower case, with single spaces for runs of white space and ASCII punctuation; UTF-8."""
-    return [b" ".join(line.split()) for line in text.lower().encode().translate(_PLAIN).split(b"\n")]
+    plain = text.lower().encode().translate(_PLAIN)
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    return [line.strip(b" ") for line in plain.split(b"\n")]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -125,10 +133,21 @@ def band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int,
 
 
 def bands_of(lines: DataFrame) -> DataFrame:
-    """(key, nh) of the lines of ``FUZZY_BYTES`` bytes or more, once for each task: near copies are likely to share a key."""
+    """(part, bands) of the lines of ``FUZZY_BYTES`` bytes or more, once for each task: near copies are likely to share a
+    key. bands: the keys that fall to a part, then their lines' hashes, some of a task's at once."""
+    parts = PARTS * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(got: list) -> pa.RecordBatch:
+        key, nh = (np.concatenate(x) for x in zip(*got))
+        part = (key % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, both = part[order], (key.view(np.int64)[order], nh[order])
+        starts, _ = _runs(part)
+        bands = [b"".join(x[i:j].tobytes() for x in both) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)])]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(bands, pa.binary())], names=["part", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen, got, n = np.zeros(0, np.int64), [], 0
         for batch in batches:
             nh, first = np.unique(batch.column("nh").to_numpy(), return_index=True)
             first = np.sort(first[~np.isin(nh, seen, assume_unique=True)])
@@ -142,17 +161,31 @@ def bands_of(lines: DataFrame) -> DataFrame:
                     own = line.take(pa.array(some))
                     offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
                     keys = band_keys(np.frombuffer(own.buffers()[2], np.uint8), offsets[:-1], offsets[1:], gram, minima, bands)
-                    both = (keys.ravel().view(np.int64), np.repeat(nh[some], bands))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["key", "nh"])
+                    got.append((keys.ravel(), np.repeat(nh[some], bands)))
+                    n += keys.size
+            if n >= HELD:
+                yield dealt(got)
+                got, n = [], 0
+        if got:
+            yield dealt(got)
 
-    return lines.select("nh", "line").mapInArrow(run, "key long, nh long")
+    return lines.select("nh", "line").mapInArrow(run, "part int, bands binary")
 
 
 def shared_keys(bands: DataFrame) -> DataFrame:
-    """(key, nh, least) of the keys that different lines share, each once; least: the smallest line of the key."""
+    """(key, nh, least) of the keys that different lines share, each once; least: the smallest line of the key.
+
+    ``bands``: of ``bands_of``, or rows (key, nh)."""
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if "key" in batch.schema.names:
+            yield batch.column("key").to_numpy(), batch.column("nh").to_numpy()
+            return
+        for x in batch.column("bands"):
+            yield tuple(np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1).copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("key").to_numpy(), b.column("nh").to_numpy()) for b in batches if b.num_rows]
+        got = [x for b in batches if b.num_rows for x in pairs(b)]
         if not got:
             return
         key, nh = (np.concatenate(x) for x in zip(*got))
@@ -172,7 +205,8 @@ def shared_keys(bands: DataFrame) -> DataFrame:
         starts, of = _runs(key)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, nh, nh[starts][of])], names=["key", "nh", "least"])
 
-    return bands.repartition("key").mapInArrow(run, "key long, nh long, least long")
+    dealt = bands.repartition("part" if "part" in bands.columns else "key")
+    return dealt.mapInArrow(run, "key long, nh long, least long")
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,119 +474,155 @@ def surely_apart(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
     return np.abs(count[0] - count[1]).sum(axis=1) > 6 * allowed
 
 
-def _rows(up: np.ndarray, down: np.ndarray, score: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a column's distances in the words from ``first`` to ``last``, for each pair; their rows)."""
-    p, q = (np.unpackbits(np.ascontiguousarray(x[first : last + 1].T).view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down))
+def _rows(up: np.ndarray, down: np.ndarray, score: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a column's distances in the words from ``first`` on, for each pair, the last of them ``score``; their rows)."""
+    p, q = (np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down))
     steps = np.zeros((len(p), p.shape[1] + 1), np.int32)
     np.cumsum(p - q, axis=1, out=steps[:, 1:])
-    steps += (score[last] - steps[:, -1])[:, None].astype(np.int32)
-    return steps, np.arange(64 * first, 64 * (last + 1) + 1)
+    steps += (score - steps[:, -1])[:, None].astype(np.int32)
+    return steps, np.arange(64 * first, 64 * (first + len(up)) + 1)
+
+
+def _once(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(the different texts, which of them each text is)."""
+    names: dict[str, int] = {}
+    at = np.array([names.setdefault(x, len(names)) for x in texts], np.int64)
+    return list(names), at
 
 
 def within(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
-    """Which pairs have an edit distance of ``allowed`` or less: exact, many pairs at once.
+    """Which pairs have an edit distance of ``allowed`` or less: exact, many pairs at once. No ``b`` is longer than its ``a``.
 
-    The columns of the table are words of 64 rows, as in ``edit_distance``, side by side for all pairs. Only words that a
-    way of ``allowed`` edits can touch are worked on, and pairs with no such way left drop out every 64 columns.
+    The columns of the table are words of 64 rows, as in ``edit_distance``, side by side for all pairs; what they are
+    made of is held once for each different text. A way of ``allowed`` edits that steps aside must come back, so only
+    words that it can touch then are worked on, and pairs with no such way left drop out every 64 columns.
     """
     out = np.zeros(len(a), bool)
-    m, n = (np.array([*map(len, x)], np.int64) for x in (a, b))
-    words = int(m.max() + 63) // 64
+    (a, left), (b, right) = _once(a), _once(b)
+    sizes = [np.array([*map(len, x)], np.int64) for x in (a, b)]
+    m, n = sizes[0][left], sizes[1][right]
+    words = int(sizes[0].max() + 63) // 64
     text = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)]
-    signs = np.zeros(0x110000, bool)
+    signs = np.zeros(max(int(x.max(initial=0)) for x in text) + 1, bool)
     for x in text:
         signs[x] = True
     number = np.cumsum(signs, dtype=np.int32) - 1
-    size, col = len(a), int(number[-1]) + 2
-    code = number[np.concatenate(text)].astype(np.int64)
-    row = np.repeat(np.arange(size), m)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-    at = (2 * (place // 64) + place // 32 % 2) * (size * col) + row * col + code[: len(row)]
-    halves = np.bincount(at, np.exp2(place % 32), 2 * words * size * col).astype(np.uint64).reshape(words, 2, size * col)
+    col = int(number[-1]) + 2
+    row, code = [np.repeat(np.arange(len(x)), x) for x in sizes], [number[x].astype(np.int64) for x in text]
+    place = [np.arange(len(r)) - np.repeat(np.cumsum(x) - x, x) for r, x in zip(row, sizes)]
+    bag = [np.bincount(r * col + c, minlength=len(x) * col).reshape(len(x), col) for r, c, x in zip(row, code, sizes)]
+    differ = bag[0][left] - bag[1][right]  # an edit takes one character away or brings one, or both
+    who = np.flatnonzero(np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1)) <= allowed)
+    if not len(who):
+        return out
+    at = (2 * (place[0] // 64) + place[0] // 32 % 2) * (len(a) * col) + row[0] * col + code[0]
+    halves = np.bincount(at, np.exp2(place[0] % 32), 2 * words * len(a) * col).astype(np.uint64).reshape(words, 2, len(a) * col)
     same = halves[:, 0] | halves[:, 1] << np.uint64(32)
-    bag = np.bincount(row * col + code[: len(row)], minlength=size * col)
-    across = np.full((int(n.max()), size), col - 1, np.int64)
-    row = np.repeat(np.arange(size), n)
-    bag -= np.bincount(row * col + code[len(code) - len(row) :], minlength=size * col)
-    bag = bag.reshape(size, col)  # an edit takes one character away or brings one, or both
-    may = np.flatnonzero(np.maximum(np.maximum(bag, 0).sum(axis=1), np.maximum(-bag, 0).sum(axis=1)) <= allowed)
-    across[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), row] = code[len(code) - len(row) :]
-    across += np.arange(size) * col
+    across = np.full((int(sizes[1].max()), len(b)), col - 1, np.int32)
+    across[place[1], row[1]] = code[1]
 
     one, top = np.uint64(1), np.uint64(63)
-    who, up, down = may, np.full((words, len(may)), ~np.uint64(0)), np.zeros((words, len(may)), np.uint64)
-    score = np.repeat(np.arange(1, words + 1, dtype=np.int64)[:, None] * 64, len(may), axis=1)
-    most, opened = int(allowed.max()), 0
-    ends = set(n.tolist())
-    for j in range(len(across)):
-        first, last = max(0, j - most) // 64, min(words - 1, (j + most) // 64)
-        if last > opened:  # words below start from the row above them
-            for w in range(opened + 1, last + 1):
-                score[w] = score[w - 1] + 64
-            opened = last
-        eq = same[first : last + 1].take(across[j, who], axis=1)
-        plus, minus = np.ones(len(who), np.uint64), np.zeros(len(who), np.uint64)
+    below, above = int(((allowed - m + n) // 2)[who].max()), int(((allowed + m - n) // 2)[who].max())
+    up, down = np.full((words, len(who)), ~np.uint64(0)), np.zeros((words, len(who)), np.uint64)
+    score, opened = np.full(len(who), 64, np.int64), 0
+    ends, base, of = set(n[who].tolist()), left[who] * col, right[who]
+    room = np.empty((8, len(who)), np.uint64)
+    eq = np.empty((min(words, (below + above) // 64 + 2), len(who)), np.uint64)
+    for j in range(int(n[who].max())):
+        first, last = max(0, j - below) // 64, min(words - 1, (j + above) // 64)
+        score += 64 * (last - opened)  # words below start from the row above them
+        opened = last
+        here = eq[: last - first + 1]
+        same[first : last + 1].take(across[j].take(of) + base, axis=1, out=here, mode="clip")
+        x, h, rise, *carry = room
+        plus = minus = None
         for w in range(first, last + 1):
-            e, p, q = eq[w - first], up[w], down[w]
-            x = e | q
-            e |= minus
-            h = (((e & p) + p) ^ p) | e
-            rise, fall = q | ~(h | p), p & h
-            more, less = rise >> top, fall >> top
-            score[w] += more.view(np.int64)
-            score[w] -= less.view(np.int64)
-            rise = rise << one | plus
-            up[w] = fall << one | minus | ~(x | rise)
-            down[w] = rise & x
+            e, p, q = here[w - first], up[w], down[w]
+            np.bitwise_or(e, q, out=x)
+            if minus is not None:
+                e |= minus
+            np.bitwise_and(e, p, out=h)
+            h += p
+            h ^= p
+            h |= e
+            np.bitwise_or(h, p, out=rise)
+            np.invert(rise, out=rise)
+            rise |= q
+            h &= p
+            more, less = carry[:2] if plus is carry[2] else carry[2:4]
+            np.right_shift(rise, top, out=more)
+            np.right_shift(h, top, out=less)
+            rise <<= one
+            rise |= one if plus is None else plus
+            h <<= one
+            if minus is not None:
+                h |= minus
+            np.bitwise_and(rise, x, out=q)
+            x |= rise
+            np.invert(x, out=x)
+            np.bitwise_or(h, x, out=p)
             plus, minus = more, less
+        score += plus.view(np.int64)
+        score -= minus.view(np.int64)
         if (j + 1) in ends:
             done = np.flatnonzero(n[who] == j + 1)
-            d, i = _rows(up[:, done], down[:, done], score[:, done], first, last)
+            d, i = _rows(up[first : last + 1, done], down[first : last + 1, done], score[done], first)
             end = m[who[done]]
             held = np.flatnonzero((end >= i[0]) & (end <= i[-1]))
             out[who[done[held]]] = d[held, end[held] - i[0]] <= allowed[who[done[held]]]
         if j % 64 == 63:
-            d, i = _rows(up, down, score, first, last)
+            d, i = _rows(up[first : last + 1], down[first : last + 1], score, first)
             end = m[who][:, None]
-            d += np.abs(end - i - (n[who][:, None] - j - 1))
+            d += np.abs(end - i - (n[who][:, None] - j - 1)).astype(np.int32)
             alive = (np.where(i <= end, d, 1 << 30).min(axis=1) <= allowed[who]) & (n[who] > j + 1)
             if not alive.all():
-                who, up, down, score = who[alive], up[:, alive], down[:, alive], score[:, alive]
+                who, up, down, score = who[alive], up[:, alive], down[:, alive], score[alive]
                 if not len(who):
                     break
+                base, of, room, eq = left[who] * col, right[who], room[:, : len(who)].copy(), eq[:, : len(who)].copy()
     return out
 
 
-def similar_pairs(a: list[str], b: list[str]) -> list[bool]:
+def similar_pairs(a: list[str], b: list[str], likely: bool = False) -> list[bool]:
     """Whether 1 - distance / length of the longer is ``SIMILARITY`` or more, for each pair: side by side, or by bounds where
-    they decide and one by one where lines are long or few."""
-    longer, shorter = (np.array([f(len(x), len(y)) for x, y in zip(a, b)], np.int64) for f in (max, min))
+    they decide and one by one where lines are long or few. likely: most pairs are, so long ones are aligned by words first."""
+    sizes = np.array([[*map(len, a)], [*map(len, b)]], np.int64)
+    longer, shorter = sizes.max(axis=0, initial=0), sizes.min(axis=0, initial=1 << 62)
     allowed = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
     out = np.zeros(len(a), bool)
     todo = np.flatnonzero((longer - shorter <= allowed) & (shorter > 0))
     todo = todo[np.argsort(longer[todo], kind="stable")]
+    short = int(np.searchsorted(longer[todo], COUNTED))
     near = [np.zeros(0, np.int64)]
-    for at in range(0, len(todo), 256):
-        some = todo[at : at + 256]
+    for at in range(0, short, 256):
+        some = todo[at : min(at + 256, short)]
         near.append(some[~surely_apart([a[k] for k in some], [b[k] for k in some], allowed[some])])
-    todo = np.concatenate(near)
-    at, single = 0, [todo[longer[todo] > WIDE]]
+    todo = np.concatenate([*near, todo[short:]])
+    if likely:
+        out[todo] = [longer[k] >= ALIGNED and surely_similar(a[k], b[k], allowed[k]) for k in todo.tolist()]
+        todo = todo[~out[todo]]
+    at, single, signs = 0, [todo[longer[todo] > WIDE]], {}
     while at < len(todo) and longer[todo[at]] <= WIDE:
         end = at + BATCH
         end = min(end, int(np.searchsorted(longer[todo], min(WIDE, longer[todo[at]] * SPREAD), "right")))
-        while end - at > 1:
-            signs = len(set().union(*(a[k] for k in todo[at:end].tolist()), *(b[k] for k in todo[at:end].tolist())))
-            if (end - at) * signs * ((longer[todo[end - 1]] + 63) // 64) <= TABLE:
+        while True:
+            some = todo[at:end].tolist()
+            x, y = [max(a[k], b[k], key=len) for k in some], [min(a[k], b[k], key=len) if len(a[k]) != len(b[k]) else b[k] for k in some]
+            rows = set(x)
+            for text in rows.union(y):
+                if text not in signs:
+                    signs[text] = frozenset(text)
+            if len(some) == 1 or len(rows) * len(frozenset().union(*map(signs.get, rows.union(y)))) * ((len(x[-1]) + 63) // 64) <= TABLE:
                 break
             end = at + (end - at) // 2
         some, at = todo[at:end], end
         if len(some) < FEW + longer[some[-1]] // FEW_CHARS:
             single.append(some)
             continue
-        out[some] = within([max(a[k], b[k], key=len) for k in some.tolist()], [min(a[k], b[k], key=len) if len(a[k]) != len(b[k]) else b[k] for k in some.tolist()], allowed[some])
+        out[some] = within(x, y, allowed[some])
     single = np.concatenate(single)
     for k, most in zip(single.tolist(), allowed[single].tolist()):
-        out[k] = surely_similar(a[k], b[k], most) or edit_distance(a[k], b[k], most) <= most
+        out[k] = not (likely and longer[k] >= ALIGNED) and surely_similar(a[k], b[k], most) or edit_distance(a[k], b[k], most) <= most
     return out.tolist()
 
 
@@ -567,7 +637,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 8 * BATCH):
                 part = batch.slice(at, 8 * BATCH)
-                same = similar_pairs(part.column("la").to_pylist(), part.column("lb").to_pylist())
+                same = similar_pairs(part.column("la").to_pylist(), part.column("lb").to_pylist(), likely=True)
                 yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -589,6 +659,7 @@ def line_classes(lines: DataFrame) -> DataFrame:
     members = spots.join(texts, "nh").select("nh", "class", "line", F.col("own.key").alias("keys"), F.inline("own"))
     more = crossing(members)
     reach = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    discard(held, texts, rays)  # the components are checkpointed
     return reach.select(F.col("node").alias("nh"), F.col("component").alias("class"))
 
 

@@ -315,3 +315,55 @@ def test_a_distance_beyond_the_bound_ends_early():
         for most in (0, 3, 9, 20):
             got, want = L.edit_distance(a, b, most), distance(a, b)
             assert got == want if want <= most else most < got <= want
+
+
+def test_keys_are_dealt_out_in_few_rows_and_found_as_before(spark):
+    """A task gives a row for each part, not one for each key of each line; what lines share is the same."""
+    rng = random.Random(31)
+    bases = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)) for _ in range(40)]
+    lines = spark.createDataFrame([(i, bases[i % 40][: 60 + i // 4]) for i in range(160)], "nh long, line string").coalesce(1)
+    dealt = L.bands_of(lines)
+    assert dealt.count() <= L.PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")) < 16 * 160
+    plain = []
+    for r in dealt.collect():
+        key, nh = np.frombuffer(r.bands, np.int64).reshape(2, -1).tolist()
+        plain += zip(key, nh)
+    held = {}
+    for key, nh in set(plain):
+        held.setdefault(key, set()).add(nh)
+    want = sorted((key, nh, min(own)) for key, own in held.items() if len(own) > 1 for nh in own)
+    rows = spark.createDataFrame(plain, "key long, nh long")
+    assert len(want) > 160 and sorted(map(tuple, L.shared_keys(dealt).collect())) == want == sorted(map(tuple, L.shared_keys(rows).collect()))
+
+
+def test_pairs_of_one_line_share_its_table(monkeypatch):
+    """Two thousand pairs of one line are compared at once, and no word is worked on that no way of so few edits touches."""
+    rng = random.Random(32)
+    one = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))
+    other = [one[:p] + "".join(rng.choice("abcdef") for _ in range(n)) + one[p + n :] for p, n in ((rng.randrange(500), rng.randrange(80, 400)) for _ in range(2000))]
+    calls, within = [], L.within
+    monkeypatch.setattr(L, "within", lambda a, b, allowed: calls.append(len(a)) or within(a, b, allowed))
+    got = L.similar_pairs([one] * 2000, other)
+    assert calls == [2000] and got[:20] == [distance(one, x) <= 200 for x in other[:20]] and len(set(got)) == 2
+
+
+def test_likely_pairs_are_decided_as_others():
+    rng = random.Random(33)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(5, 150))] for _ in range(200)]
+    other = [[w if rng.random() > k % 9 * 0.06 else "xyz" for w in x] for k, x in enumerate(words)]
+    a, b = [" ".join(x) for x in words], [" ".join(x) for x in other]
+    assert L.similar_pairs(a, b, likely=True) == L.similar_pairs(a, b) and L.similar_pairs([], [], likely=True) == []
+
+
+def test_steps_that_nothing_reads_any_more_are_deleted(spark, docs_of):
+    """Keys, candidate texts and pairs go when the classes are known."""
+    made, kept = [], L.materialize
+    lines = L.lines_of(docs_of([(i, f"one line that all share {i}\nand another one {'x' * i}") for i in range(9)]))
+    try:
+        L.materialize = lambda df, tag: made.append((tag, kept(df, tag))) or made[-1][1]
+        classes = L.line_classes(lines).count()
+    finally:
+        L.materialize = kept
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    left = {x.split("-")[1] for x in os.listdir(folder) if x.rsplit("-", 1)[0] in {t for t, _ in made} and any(x in df.inputFiles()[0] for t, df in made)}
+    assert classes > 9 and left == {"first"} and {t for t, _ in made} == {"lines-keys", "lines-text", "lines-pairs", "lines-first"}
